@@ -125,7 +125,7 @@ def near_duplicates(df: DataFrame, stats: TableStats, safe_columns=None,
     values = value_frequencies(df, names)
     single = values.where("n = 1").select(
         "column", "value", F.col("first_row").alias("row_id"),
-        F.explode(similar_lengths(F.col("value"))).alias("len").cast("int"),
+        F.explode(similar_lengths(F.col("value"))).alias("len"),
     ).withColumn("len", F.col("len").cast("int"))
     repeated = values.where("n > 1").select(
         "column", F.col("value").alias("canonical"), F.col("n").alias("canonical_count"),
