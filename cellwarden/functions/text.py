@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellwarden import constants as C
 
-_LONG_VALUE = 64
+LONG_VALUE = 64
 
 
 def as_col(c) -> Column:
@@ -82,4 +82,4 @@ def value_key(c) -> Column:
     """
     v = as_col(c)
     digest = F.concat(F.lit("sha256:"), F.sha2(v.cast("binary"), 256))
-    return F.when(F.length(v) <= _LONG_VALUE, v).otherwise(digest)
+    return F.when(F.length(v) <= LONG_VALUE, v).otherwise(digest)

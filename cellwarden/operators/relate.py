@@ -218,41 +218,98 @@ def _fd_clean(c: str, stats: TableStats) -> Column:
     return F.when(~X.is_null_token(value, C.FD_NULL_TOKENS), value)
 
 
-def mine_fds(df: DataFrame, stats: TableStats) -> DataFrame | None:
-    """Single-column dependencies x -> y that hold for 90 % of the rows.
+# Share of the rows counted first to rule out column pairs.
+FD_FIRST_SHARE = 4
+# From this many distinct values on, whole x groups are taken for that.
+FD_MANY_GROUPS = 1000
+
 
-    One record per (x value, y value) and column pair leaves the map side;
-    the statistics above rule out the pairs that cannot qualify.
+def fd_pairs(stats: TableStats) -> list[tuple[str, str]]:
+    """Column pairs the column statistics cannot rule out.
+
+    The m groups of x keep at most m distinct values of y; every further
+    distinct value of y is at least one violating row.
     """
-    xs, ys = fd_determinants(stats), fd_dependents(stats)
-    pairs = [(x, y) for x in xs for y in ys if x != y]
-    if not pairs or stats.n_rows < C.FD_MIN_GROUP:
-        return None
-    entries = [
-        F.struct(
-            F.lit(x).alias("x"), F.lit(y).alias("y"),
-            identity_of(x, stats.types[x]).cast("string").alias("x_key"),
-            F.when(_fd_clean(y, stats).isNotNull(),
-                   identity_of(y, stats.types[y]).cast("string")).alias("y_key"),
-        )
-        for x, y in pairs
-    ]
-    counts = (
-        df.select(F.inline(F.array(*entries))).where(F.col("x_key").isNotNull())
-        .groupBy("x", "y", "x_key", "y_key").agg(F.count("*").alias("n"))
+    n = stats.n_rows
+    out = []
+    for x in fd_determinants(stats):
+        for y in fd_dependents(stats):
+            sx, sy = stats.columns[x], stats.columns[y]
+            # Rows of y that may be null words are not counted on.
+            clean = 0 if sy.mean is not None and sy.mean != sy.mean else sy.n_values - sy.null_tokens
+            kept = max(0, sx.n_grouped + clean - n)
+            if x != y and C.FD_MIN_CONFIDENCE * kept <= sx.n_distinct + sy.n_values - sy.n_distinct:
+                out.append((x, y))
+    return out
+
+
+def _pair_counts(df: DataFrame, stats: TableStats, pairs: list, share: int | None) -> DataFrame:
+    """Per (pair, x value): rows, clean rows and rows of the top y value.
+
+    A row's keys are computed once and paired afterwards. They are 64-bit
+    hashes: exact for fixed-width columns; for text two values would have to
+    collide within one x group to change a count.
+    """
+    xs = list(dict.fromkeys(x for x, _ in pairs))
+    ys = list(dict.fromkeys(y for _, y in pairs))
+    ids = [xs.index(x) * len(ys) + ys.index(y) for x, y in pairs]
+
+    def x_entry(i, x):
+        key = F.xxhash64(x)
+        keep = F.col(x).isNotNull()
+        if share is not None:
+            spread = key if stats.columns[x].n_distinct >= FD_MANY_GROUPS else F.xxhash64("row_id")
+            keep = keep & (F.pmod(spread, F.lit(share)) == 0)
+        return F.when(keep, F.struct(F.lit(i).alias("xi"), key.alias("x_key")))
+
+    def y_entry(i, y):
+        key = F.when(_fd_clean(y, stats).isNotNull(), F.xxhash64(y))
+        return F.struct(F.lit(i).alias("yi"), key.alias("y_key"))
+
+    rows = (
+        df.select(F.array_compact(F.array(*[x_entry(i, x) for i, x in enumerate(xs)])).alias("xs"),
+                  F.array(*[y_entry(i, y) for i, y in enumerate(ys)]).alias("ys"))
+        .select(F.inline("xs"), "ys").select("xi", "x_key", F.inline("ys"))
+        .withColumn("pair", F.col("xi") * len(ys) + F.col("yi"))
+        .where(F.col("pair").isin(ids))
     )
-    groups = counts.groupBy("x", "y", "x_key").agg(
-        F.sum("n").alias("size"),
-        F.sum(F.when(F.col("y_key").isNotNull(), F.col("n"))).alias("kept"),
-        F.max(F.when(F.col("y_key").isNotNull(), F.col("n"))).alias("mode_n"),
+    counts = rows.groupBy("pair", "x_key", "y_key").agg(F.count("*").alias("n"))
+    clean_n = F.when(F.col("y_key").isNotNull(), F.col("n"))
+    names = df.sparkSession.createDataFrame(
+        [(i, x, y) for i, (x, y) in zip(ids, pairs)], "pair int, x string, y string")
+    groups = counts.groupBy("pair", "x_key").agg(
+        F.sum("n").alias("size"), F.sum(clean_n).alias("kept"), F.max(clean_n).alias("mode_n"),
     ).where(F.col("size") >= C.FD_MIN_GROUP)
+    return groups.groupBy("pair").agg(
+        F.sum("kept").alias("kept"), F.sum("mode_n").alias("mode_n"),
+    ).join(F.broadcast(names), "pair")
+
+
+def mine_fds(df: DataFrame, stats: TableStats, first_share: int | None = FD_FIRST_SHARE,
+             min_rows: int = 50_000) -> DataFrame | None:
+    """Single-column dependencies x -> y that hold for 90 % of the rows.
+
+    Exact over all rows, in two steps on larger tables. A part of the rows is
+    counted for every pair. Violations only grow with more rows, so a pair
+    whose part already has more than the whole table may have is out. The
+    remaining pairs, few as a rule, are counted over all rows.
+    """
     n = stats.n_rows
-    return (
-        groups.groupBy("x", "y")
-        .agg(F.sum("kept").alias("kept"), (F.sum("mode_n") / F.sum("kept")).alias("confidence"))
-        .where((F.col("kept") >= C.FD_MIN_COVERAGE * n) & (F.col("confidence") >= C.FD_MIN_CONFIDENCE))
-        .select("x", "y", "confidence")
-    )
+    pairs = fd_pairs(stats)
+    if not pairs or n < C.FD_MIN_GROUP:
+        return None
+    if first_share is not None and n >= min_rows:
+        part = {(r["x"], r["y"]): (r["kept"] or 0) - (r["mode_n"] or 0)
+                for r in _pair_counts(df, stats, pairs, first_share).collect()}
+        limit = 1.0 - C.FD_MIN_CONFIDENCE
+        pairs = [(x, y) for x, y in pairs
+                 if part.get((x, y), 0) <= limit * stats.columns[x].n_grouped * (1 + 1e-9)]
+        if not pairs:
+            return None
+    whole = _pair_counts(df, stats, pairs, None).withColumn("confidence", F.col("mode_n") / F.col("kept"))
+    return whole.where(
+        (F.col("kept") >= C.FD_MIN_COVERAGE * n) & (F.col("confidence") >= C.FD_MIN_CONFIDENCE)
+    ).select("x", "y", "confidence")
 
 
 def fd_violations(df: DataFrame, stats: TableStats, fds: list, max_per_fd: int | None = None,

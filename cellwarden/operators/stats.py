@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from cellwarden import constants as C
 from cellwarden.functions.dates import date_format_label
-from cellwarden.functions.text import is_float_text, is_integer_text, is_null_token
+from cellwarden.functions.text import (
+    LONG_VALUE, is_float_text, is_integer_text, is_null_token, value_key,
+)
 from cellwarden.operators.cells import (
-    fixed_width, identity_of, is_numeric, is_string, unpivot,
+    fixed_width, identity_of, is_numeric, text_of, unpivot,
 )
 
 COLUMNS_PER_PASS = 40
@@ -61,6 +63,46 @@ class TableStats:
     columns: dict[str, ColumnStats]
 
 
+def fixed_groups(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, value key) with its number of rows, for fixed-width columns."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cells = unpivot(df, names, lambda c: identity_of(c, types[c])).where(F.col("value").isNotNull())
+    return cells.groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def text_groups(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, value) of the other columns, with what the text rules need.
+
+    Values are classified after grouping, once per distinct value. A long
+    value travels as its digest, so its own class is taken before that.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cells = unpivot(df, names, lambda c: text_of(c, types[c]), keep=["row_id"]).where("value is not null")
+    long = F.length("value") > LONG_VALUE  # a digest is longer than any short value
+    classes = {
+        "is_token": is_null_token("value"),
+        "is_integer": is_integer_text("value"),
+        "is_float": is_float_text("value"),
+        "label": date_format_label("value"),
+    }
+    keyed = cells.select(
+        "column", "row_id", value_key("value").alias("value"), F.length("value").alias("length"),
+        *[F.when(long, v).alias(f"long_{k}") for k, v in classes.items()])
+    grouped = keyed.groupBy("column", "value", "length", *[f"long_{k}" for k in classes]).agg(
+        F.count("*").alias("n"), F.min("row_id").alias("first_row"))
+    return grouped.withColumns({
+        k: F.when(long, F.col(f"long_{k}")).otherwise(v) for k, v in classes.items()})
+
+
+def group_measures() -> dict:
+    """Aggregates over value groups."""
+    return {
+        "n_distinct": F.count("*"),
+        "n_grouped": F.sum(F.when(F.col("n") >= C.FD_MIN_GROUP, F.col("n")).otherwise(0)),
+        "top_count": F.max("n"),
+    }
+
+
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: distinct values, rows in groups of three or more, top count.
 
@@ -68,20 +110,14 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     repeated values before the shuffle.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
+    measures = [e.alias(k) for k, e in group_measures().items()]
     parts = []
     for kind in (True, False):
         names = [c for c in columns if fixed_width(types[c]) is kind]
-        if not names:
-            continue
-        cells = unpivot(df, names, lambda c: identity_of(c, types[c]))
-        groups = cells.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
-        parts.append(
-            groups.groupBy("column").agg(
-                F.count("*").alias("n_distinct"),
-                F.sum(F.when(F.col("n") >= C.FD_MIN_GROUP, F.col("n")).otherwise(0)).alias("n_grouped"),
-                F.max("n").alias("top_count"),
-            )
-        )
+        if names:
+            cells = unpivot(df, names, lambda c: identity_of(c, types[c]))
+            groups = cells.where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+            parts.append(groups.groupBy("column").agg(*measures))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -108,34 +144,40 @@ def wide_aggregate(df: DataFrame, columns: list[str], measures) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def quantile_brackets(df: DataFrame, columns: list[str], probabilities) -> dict:
-    """(column, p) -> (low, high) values that enclose the exact quantile.
+def bracket_points(probabilities) -> list[float]:
+    """Two ranks around each probability that are certain to enclose it.
 
-    The sketch's rank error is below n / accuracy, so two error steps either
-    side of p are certain to hold the order statistics next to it.
+    The sketch's rank error is below n / accuracy; two error steps either
+    side also cover the next order statistic.
     """
     step = 2.0 / BRACKET_ACCURACY
-    points = [min(1.0, max(0.0, p + s)) for p in probabilities for s in (-step, step)]
-    sketches = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), points, BRACKET_ACCURACY).alias(f"q{i}")
-          for i, c in enumerate(columns)]
-    ).first()
-    out = {}
-    for i, c in enumerate(columns):
-        if sketches[i] is not None:
-            for j, p in enumerate(probabilities):
-                out[c, p] = (sketches[i][2 * j], sketches[i][2 * j + 1])
-    return out
+    return [min(1.0, max(0.0, p + s)) for p in probabilities for s in (-step, step)]
+
 
+def sketch(c: str, probabilities):
+    return F.percentile_approx(F.col(c).cast("double"), bracket_points(probabilities), BRACKET_ACCURACY)
 
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities) -> DataFrame:
+
+def quantile_brackets(df: DataFrame, columns: list[str], probabilities) -> dict:
+    """(column, p) -> (low, high) values that enclose the exact quantile."""
+    points = df.agg(*[sketch(c, probabilities).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    return {
+        (c, p): (points[i][2 * j], points[i][2 * j + 1])
+        for i, c in enumerate(columns) if points[i] is not None
+        for j, p in enumerate(probabilities)
+    }
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities,
+                    brackets: dict | None = None) -> DataFrame:
     """Exact linear quantiles, one row per (column, p), at any table size.
 
     A sketch first brackets each quantile. The second pass counts the rows
     below the bracket and the values inside it, a tiny share of the rows, so
     no task ever holds a whole column as ``percentile`` would.
     """
-    brackets = quantile_brackets(df, columns, probabilities)
+    if brackets is None:
+        brackets = quantile_brackets(df, columns, probabilities)
     schema = "column string, p double, value double"
     if not brackets:
         return df.sparkSession.createDataFrame([], schema)
@@ -180,51 +222,67 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities) -> DataFra
     )
 
 
-def detection_measures(df: DataFrame):
-    """Aggregates the detectors need, the same names for every column."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    nothing = F.max(F.lit(None).cast("bigint"))
+QUARTILES = (0.25, 0.75)
+
 
+def _count_measures(types: dict):
     def measures(c):
-        out = {"n_rows": F.count(F.lit(1)), "n_values": F.count(c)}
-        text, number = is_string(types[c]), is_numeric(types[c])
-        v = F.col(c)
-        out["null_tokens"] = F.count_if(is_null_token(v)) if text else nothing
-        out["integer_hits"] = F.count_if(is_integer_text(v)) if text else nothing
-        out["float_hits"] = F.count_if(is_float_text(v)) if text else nothing
-        out["max_length"] = F.max(F.length(v)).cast("bigint") if text else nothing
-        label = date_format_label(v) if text else None
-        for i, (name, _) in enumerate(C.DATE_FORMATS):
-            out[f"date_{i}"] = F.count_if(label == name) if text else nothing
-            out[f"first_{i}"] = F.min(F.when(label == name, F.col("row_id"))) if text else nothing
-        x = v.cast("double") if number else F.lit(None).cast("double")
-        out["mean"] = F.avg(x)
-        out["std"] = F.stddev_pop(x)
-        return out
+        x = F.col(c).cast("double") if is_numeric(types[c]) else F.lit(None).cast("double")
+        points = sketch(c, QUARTILES) if is_numeric(types[c]) else F.max(F.lit(None).cast("array<double>"))
+        return {"n_rows": F.count(F.lit(1)), "n_values": F.count(c),
+                "mean": F.avg(x), "std": F.stddev_pop(x), "points": points}
 
     return measures
 
 
-def fit(df: DataFrame, columns: list[str], quartiles: bool = True) -> TableStats:
-    """Statistics of ``columns``; ``df`` carries ``row_id``."""
+def _text_measures() -> dict:
+    hits = lambda flag: F.sum(F.when(F.col(flag), F.col("n")).otherwise(0))
+    out = {"null_tokens": hits("is_token"), "integer_hits": hits("is_integer"),
+           "float_hits": hits("is_float"), "max_length": F.max("length")}
+    for i, (label, _) in enumerate(C.DATE_FORMATS):
+        out[f"date_{i}"] = F.sum(F.when(F.col("label") == label, F.col("n")))
+        out[f"first_{i}"] = F.min(F.when(F.col("label") == label, F.col("first_row")))
+    return out
+
+
+def fit(df: DataFrame, columns: list[str]) -> TableStats:
+    """Statistics of ``columns``; ``df`` carries ``row_id``.
+
+    Two jobs: counts, moments, sketches and value groups first, then the
+    exact quartiles inside the sketched brackets.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
-    base = wide_aggregate(df, columns, detection_measures(df))
-    rows = base.join(distinct_counts(df, columns), "column", "left").collect()
-    out = {}
+    fixed = [c for c in columns if fixed_width(types[c])]
+    texts = [c for c in columns if c not in fixed]
+    groups = [e.alias(k) for k, e in group_measures().items()]
+    parts = [wide_aggregate(df, columns, _count_measures(types))]
+    if fixed:
+        parts.append(fixed_groups(df, fixed).groupBy("column").agg(*groups))
+    if texts:
+        extra = [e.alias(k) for k, e in _text_measures().items()]
+        parts.append(text_groups(df, texts).groupBy("column").agg(*groups, *extra))
+    found: dict[str, dict] = {c: {} for c in columns}
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).collect()
     for r in rows:
-        out[r["column"]] = ColumnStats(
-            name=r["column"], position=columns.index(r["column"]),
-            n_rows=r["n_rows"], n_values=r["n_values"],
-            n_distinct=r["n_distinct"] or 0, n_grouped=r["n_grouped"] or 0,
-            top_count=r["top_count"] or 0, null_tokens=r["null_tokens"] or 0,
-            integer_hits=r["integer_hits"] or 0, float_hits=r["float_hits"] or 0,
-            max_length=r["max_length"] or 0, mean=r["mean"], std=r["std"],
-            dates={name: (r[f"date_{i}"], r[f"first_{i}"])
-                   for i, (name, _) in enumerate(C.DATE_FORMATS) if r[f"date_{i}"]},
+        found[r["column"]].update({k: v for k, v in r.asDict().items() if v is not None})
+    out = {}
+    for i, c in enumerate(columns):
+        f = found[c]
+        out[c] = ColumnStats(
+            name=c, position=i,
+            **{k: f[k] for k in ("n_rows", "n_values", "n_distinct", "n_grouped", "top_count",
+                                 "null_tokens", "integer_hits", "float_hits", "max_length",
+                                 "mean", "std") if k in f},
+            dates={label: (f[f"date_{j}"], f[f"first_{j}"])
+                   for j, (label, _) in enumerate(C.DATE_FORMATS) if f.get(f"date_{j}")},
         )
-    numeric = [c for c in columns if is_numeric(types[c]) and out[c].n_values >= 5]
-    if quartiles and numeric:
-        for q in exact_quantiles(df, numeric, (0.25, 0.75)).collect():
-            setattr(out[q["column"]], "q1" if q["p"] == 0.25 else "q3", q["value"])
+    brackets = {
+        (c, p): (found[c]["points"][2 * j], found[c]["points"][2 * j + 1])
+        for c in columns if found[c].get("points") and out[c].n_values >= 5
+        for j, p in enumerate(QUARTILES)
+    }
+    if brackets:
+        for q in exact_quantiles(df, columns, QUARTILES, brackets).collect():
+            setattr(out[q["column"]], "q1" if q["p"] == QUARTILES[0] else "q3", q["value"])
     n = max((s.n_rows for s in out.values()), default=0)
-    return TableStats(n_rows=n, types=types, columns={c: out[c] for c in columns if c in out})
+    return TableStats(n_rows=n, types=types, columns=out)

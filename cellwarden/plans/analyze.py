@@ -15,6 +15,7 @@ from cellwarden.operators.evidence import FOUND_SCHEMA, describe
 from cellwarden.operators.profile import name_hint
 from cellwarden.operators.repair import apply_repairs, auto_edits
 from cellwarden.operators.stats import TableStats, fit
+from cellwarden.sources.files import spread
 
 UNSAFE_KINDS = ("email", "date", "phone", "identifier", "url")
 
@@ -34,6 +35,10 @@ class Analysis:
     def summary(self) -> DataFrame:
         return D.summarize(self.decisions)
 
+    def close(self) -> None:
+        """Release the cached copy of a small input."""
+        self.table.unpersist()
+
     def repaired(self) -> DataFrame:
         return apply_repairs(self.table, auto_edits(self.decisions), self.columns)
 
@@ -75,7 +80,7 @@ def analyze(df: DataFrame, key: str, dataset_id: str = "dataset", columns=None,
     duplicates of identifiers and the like are repaired automatically, and
     automatic date decisions carry no value.
     """
-    table = with_row_id(df, key)
+    table = spread(with_row_id(df, key))
     names = data_columns(table, key, columns)
     stats = fit(table, names)
     mined = R.mine_fds(table, stats)
