@@ -42,15 +42,15 @@ def semantic_types(df: DataFrame, columns: list[str]) -> DataFrame:
     hints = df.sparkSession.createDataFrame(
         [(i, c, name_hint(c)) for i, c in enumerate(columns)], "position int, column string, hint string")
     if strings:
-        best = F.lit(None).cast("struct<kind:string,rate:double>")
-        for k in reversed(C.SEMANTIC_PATTERNS):
-            better = (F.col(k) >= C.SEMANTIC_MIN_RATE) & (
-                F.col(k) >= F.coalesce(best["rate"], F.lit(0.0)))
-            best = F.when(better, F.struct(F.lit(k).alias("kind"), F.col(k).alias("rate"))).otherwise(best)
+        # The highest rate, then the earlier pattern.
+        best = F.array_max(F.array_compact(F.array(*[
+            F.when(F.col(k) >= C.SEMANTIC_MIN_RATE,
+                   F.struct(F.col(k).alias("rate"), F.lit(-i).alias("rank"), F.lit(k).alias("kind")))
+            for i, k in enumerate(C.SEMANTIC_PATTERNS)])))
         found = string_rates(df, strings).select("column", best.alias("best"))
         hints = hints.join(F.broadcast(found), "column", "left")
     else:
-        hints = hints.withColumn("best", F.lit(None).cast("struct<kind:string,rate:double>"))
+        hints = hints.withColumn("best", F.lit(None).cast("struct<rate:double,rank:int,kind:string>"))
     named = F.col("hint").isNotNull()
     return hints.select(
         "column", "position",
