@@ -144,27 +144,44 @@ def wide_aggregate(df: DataFrame, columns: list[str], measures) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def bracket_points(probabilities) -> list[float]:
-    """Two ranks around each probability that are certain to enclose it.
+# Half widths of the brackets, and the number of values each is sure to work
+# from: width * n must cover the rank error n / accuracy and two more ranks.
+BRACKET_WIDTHS = tuple(
+    (w, 2.0 / (w - 1.0 / BRACKET_ACCURACY)) for w in (2.0 / BRACKET_ACCURACY, 2e-3))
 
-    The sketch's rank error is below n / accuracy; two error steps either
-    side also cover the next order statistic.
-    """
-    step = 2.0 / BRACKET_ACCURACY
-    return [min(1.0, max(0.0, p + s)) for p in probabilities for s in (-step, step)]
+
+def bracket_points(probabilities) -> list[float]:
+    """The ranks to sketch: the range, and pairs around each probability."""
+    clip = lambda p: min(1.0, max(0.0, p))
+    around = [clip(p + s) for w, _ in BRACKET_WIDTHS for p in probabilities for s in (-w, w)]
+    return [0.0, 1.0, *around]
 
 
 def sketch(c: str, probabilities):
     return F.percentile_approx(F.col(c).cast("double"), bracket_points(probabilities), BRACKET_ACCURACY)
 
 
+def brackets_from(points: list[float], n: int, probabilities) -> dict:
+    """p -> (low, high) values that are certain to enclose the exact quantile.
+
+    The narrowest one the number of values allows; the whole range for a
+    handful of values.
+    """
+    for i, (_, least) in enumerate(BRACKET_WIDTHS):
+        if n >= least:
+            at = 2 + 2 * i * len(probabilities)
+            return {p: (points[at + 2 * j], points[at + 2 * j + 1]) for j, p in enumerate(probabilities)}
+    return {p: (points[0], points[1]) for p in probabilities}
+
+
 def quantile_brackets(df: DataFrame, columns: list[str], probabilities) -> dict:
-    """(column, p) -> (low, high) values that enclose the exact quantile."""
-    points = df.agg(*[sketch(c, probabilities).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    """(column, p) -> bracket, from one pass over the table."""
+    row = df.agg(*[e for i, c in enumerate(columns) for e in (
+        sketch(c, probabilities).alias(f"q{i}"), F.count(c).alias(f"n{i}"))]).first()
     return {
-        (c, p): (points[i][2 * j], points[i][2 * j + 1])
-        for i, c in enumerate(columns) if points[i] is not None
-        for j, p in enumerate(probabilities)
+        (c, p): bracket
+        for i, c in enumerate(columns) if row[f"q{i}"] is not None
+        for p, bracket in brackets_from(row[f"q{i}"], row[f"n{i}"], probabilities).items()
     }
 
 
@@ -277,9 +294,9 @@ def fit(df: DataFrame, columns: list[str]) -> TableStats:
                    for j, (label, _) in enumerate(C.DATE_FORMATS) if f.get(f"date_{j}")},
         )
     brackets = {
-        (c, p): (found[c]["points"][2 * j], found[c]["points"][2 * j + 1])
+        (c, p): bracket
         for c in columns if found[c].get("points") and out[c].n_values >= 5
-        for j, p in enumerate(QUARTILES)
+        for p, bracket in brackets_from(found[c]["points"], out[c].n_values, QUARTILES).items()
     }
     if brackets:
         for q in exact_quantiles(df, columns, QUARTILES, brackets).collect():
