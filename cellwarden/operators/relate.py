@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellwarden import constants as C
 from cellwarden.functions import text as X
@@ -45,35 +46,41 @@ def rare_patterns(df: DataFrame, stats: TableStats, names: list[str] | None = No
                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
     """Cells whose shape covers less than 5 % of their column.
 
-    At most twenty shapes per column reach 5 %, so the common ones are
-    broadcast and drop the bulk of the cells before anything is shuffled.
+    The common shapes (at most twenty per column) were fitted, so a row-wise
+    test drops the bulk of the cells, and columns without a rare shape are
+    not read. Only rare cells are counted and joined to their counts.
     """
-    names = [c for c in _string_columns(stats, 5) if names is None or c in names]
+    names = [c for c in _string_columns(stats, 5) if (names is None or c in names)
+             and stats.columns[c].common_rows < stats.columns[c].n_values]
     if not names:
         return None
-    counts = shape_counts(df, names).withColumn("n", _column_number(stats, "n_values", names))
-    share = F.col("n_shape") / F.col("n")
-    common = counts.where(share >= C.RARE_SHAPE_SHARE).select("column", "shape_key")
-    # A column without a common shape still has a most frequent one.
-    dominant = counts.groupBy("column").agg(F.max(share).alias("dominant"))
-    rare = counts.where(share < C.RARE_SHAPE_SHARE).withColumn("share", share)
-    shaped = df.select("row_id", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), X.shape(c).alias("shape"))
-        for c in names]))).where(F.col("value").isNotNull())
-    cells = shaped.withColumn("shape_key", X.value_key("shape"))
-    candidates = cells.join(F.broadcast(common), ["column", "shape_key"], "left_anti")
+    cells = unpivot_shapes(df, names).withColumn("shape_key", X.value_key("shape"))
+    common = F.lit(False)
+    for c in names:
+        if stats.columns[c].common_shapes:
+            common = common | ((F.col("column") == c) & F.col("shape_key").isin(*stats.columns[c].common_shapes))
+    rare = cells.where(~common)
+    counts = rare.groupBy("column", "shape_key").agg(F.count("*").alias("n_shape"))
     largest = int(C.RARE_SHAPE_SHARE * max(stats.columns[c].n_values for c in names))
-    joined = join_groups(candidates, rare, ["column", "shape_key"], "n_shape", "row_id",
-                         largest, rows_per_task).join(F.broadcast(dominant), "column")
-    strength = F.col("dominant") * F.least(F.lit(1.0), 1.0 - F.col("share") / C.RARE_SHAPE_SHARE)
+    joined = join_groups(rare, counts, ["column", "shape_key"], "n_shape", "row_id", largest, rows_per_task)
+    share = F.col("n_shape") / _column_number(stats, "n_values", names)
+    dominant = _column_number(stats, "dominant_shape", names) / _column_number(stats, "n_values", names)
+    strength = dominant * F.least(F.lit(1.0), 1.0 - share / C.RARE_SHAPE_SHARE)
     hit = found(
         "pattern_rarity_detector", F.col("column"), F.round(strength, 4), F.col("value"),
         reasons=["rare_pattern"],
-        details={"observed_pattern": F.col("shape"), "pattern_share": F.round("share", 4)},
+        details={"observed_pattern": F.col("shape"), "pattern_share": F.round(share, 4)},
     )
     return joined.select("row_id", F.inline(F.array(hit)))
 
 
+def unpivot_shapes(df: DataFrame, names: list[str]) -> DataFrame:
+    """Non-null cells of string columns with value and shape."""
+    entries = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), X.shape(c).alias("shape"))
+               for c in names]
+    return df.select("row_id", F.inline(F.array(*entries))).where(F.col("value").isNotNull())
+
+
 # --- near duplicates --------------------------------------------------------
 
 def value_frequencies(df: DataFrame, names: list[str]) -> DataFrame:
@@ -213,9 +220,17 @@ def fd_dependents(stats: TableStats) -> list[str]:
 
 
 def _fd_clean(c: str, stats: TableStats) -> Column:
-    """The text of a cell, or null when it is one of the null words."""
-    value = text_of(c, stats.types[c])
-    return F.when(~X.is_null_token(value, C.FD_NULL_TOKENS), value)
+    """The cell holds a value that is not one of the null words.
+
+    Only text can spell one, and a float can be NaN; other types skip the
+    conversion to text.
+    """
+    kind = stats.types[c]
+    if is_string(kind):
+        return F.col(c).isNotNull() & ~X.is_null_token(c, C.FD_NULL_TOKENS)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.col(c).isNotNull() & ~F.isnan(c)
+    return F.col(c).isNotNull()
 
 
 # Share of the rows counted first to rule out column pairs.
@@ -228,7 +243,8 @@ def fd_pairs(stats: TableStats) -> list[tuple[str, str]]:
     """Column pairs the column statistics cannot rule out.
 
     The m groups of x keep at most m distinct values of y; every further
-    distinct value of y is at least one violating row.
+    distinct value of y is at least one violating row. And no group keeps
+    more rows than y's most frequent value has.
     """
     n = stats.n_rows
     out = []
@@ -238,7 +254,8 @@ def fd_pairs(stats: TableStats) -> list[tuple[str, str]]:
             # Rows of y that may be null words are not counted on.
             clean = 0 if sy.mean is not None and sy.mean != sy.mean else sy.n_values - sy.null_tokens
             kept = max(0, sx.n_grouped + clean - n)
-            if x != y and C.FD_MIN_CONFIDENCE * kept <= sx.n_distinct + sy.n_values - sy.n_distinct:
+            bound = min(sx.n_distinct + sy.n_values - sy.n_distinct, sx.n_distinct * sy.top_count)
+            if x != y and C.FD_MIN_CONFIDENCE * kept <= bound:
                 out.append((x, y))
     return out
 
@@ -260,16 +277,17 @@ def _pair_counts(df: DataFrame, stats: TableStats, pairs: list, share: int | Non
         if share is not None:
             spread = key if stats.columns[x].n_distinct >= FD_MANY_GROUPS else F.xxhash64("row_id")
             keep = keep & (F.pmod(spread, F.lit(share)) == 0)
-        return F.when(keep, F.struct(F.lit(i).alias("xi"), key.alias("x_key")))
+        return F.struct(F.lit(i).alias("xi"), F.when(keep, key).alias("x_key"))
 
     def y_entry(i, y):
-        key = F.when(_fd_clean(y, stats).isNotNull(), F.xxhash64(y))
+        key = F.when(_fd_clean(y, stats), F.xxhash64(y))
         return F.struct(F.lit(i).alias("yi"), key.alias("y_key"))
 
     rows = (
-        df.select(F.array_compact(F.array(*[x_entry(i, x) for i, x in enumerate(xs)])).alias("xs"),
+        df.select(F.array(*[x_entry(i, x) for i, x in enumerate(xs)]).alias("xs"),
                   F.array(*[y_entry(i, y) for i, y in enumerate(ys)]).alias("ys"))
-        .select(F.inline("xs"), "ys").select("xi", "x_key", F.inline("ys"))
+        .select(F.inline("xs"), "ys").where(F.col("x_key").isNotNull())
+        .select("xi", "x_key", F.inline("ys"))
         .withColumn("pair", F.col("xi") * len(ys) + F.col("yi"))
         .where(F.col("pair").isin(ids))
     )
@@ -326,7 +344,7 @@ def fd_violations(df: DataFrame, stats: TableStats, fds: list, max_per_fd: int |
         F.struct(
             F.lit(i).alias("fd"),
             identity_of(x, stats.types[x]).cast("string").alias("x_key"),
-            X.strip(_fd_clean(y, stats)).alias("y_value"),
+            F.when(_fd_clean(y, stats), X.strip(text_of(y, stats.types[y]))).alias("y_value"),
         )
         for i, (x, y, _) in enumerate(fds)
     ]

@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 from cellwarden import constants as C
 from cellwarden.functions.dates import date_format_label
 from cellwarden.functions.text import (
-    LONG_VALUE, is_float_text, is_integer_text, is_null_token, value_key,
+    LONG_VALUE, is_float_text, is_integer_text, is_null_token, shape, value_key,
 )
 from cellwarden.operators.cells import (
     fixed_width, identity_of, is_numeric, text_of, unpivot,
 )
 
 COLUMNS_PER_PASS = 40
-BRACKET_ACCURACY = 100_000
+BRACKET_ACCURACY = 10_000
+BRACKET_ROWS = 5_000_000
+BRACKET_STEPS = 1_000
 
 
 @dataclass
@@ -40,6 +42,9 @@ class ColumnStats:
     integer_hits: int = 0
     float_hits: int = 0
     max_length: int = 0
+    dominant_shape: int = 0  # rows of the most frequent shape
+    common_shapes: list = field(default_factory=list)  # keys of 5 % of the values and more
+    common_rows: int = 0
     dates: dict = field(default_factory=dict)  # label -> (count, first row id)
     mean: float | None = None
     std: float | None = None
@@ -84,6 +89,7 @@ def text_groups(df: DataFrame, names: list[str]) -> DataFrame:
         "is_integer": is_integer_text("value"),
         "is_float": is_float_text("value"),
         "label": date_format_label("value"),
+        "shape_key": value_key(shape("value")),
     }
     keyed = cells.select(
         "column", "row_id", value_key("value").alias("value"), F.length("value").alias("length"),
@@ -175,14 +181,43 @@ def brackets_from(points: list[float], n: int, probabilities) -> dict:
 
 
 def quantile_brackets(df: DataFrame, columns: list[str], probabilities) -> dict:
-    """(column, p) -> bracket, from one pass over the table."""
+    """(column, p) -> bracket of every column that has values."""
     row = df.agg(*[e for i, c in enumerate(columns) for e in (
         sketch(c, probabilities).alias(f"q{i}"), F.count(c).alias(f"n{i}"))]).first()
-    return {
+    brackets = {
         (c, p): bracket
         for i, c in enumerate(columns) if row[f"q{i}"] is not None
         for p, bracket in brackets_from(row[f"q{i}"], row[f"n{i}"], probabilities).items()
     }
+    return narrow_brackets(df, brackets, {c: row[f"n{i}"] for i, c in enumerate(columns)})
+
+
+def narrow_brackets(df: DataFrame, brackets: dict, n_values: dict) -> dict:
+    """Tighter brackets where one may hold more rows than a task should sort.
+
+    One more pass sketches the values inside such a bracket at a thousand
+    even ranks; the two steps around the wanted rank are kept.
+    """
+    width = 2 * BRACKET_WIDTHS[0][0]
+    wide = {cp: b for cp, b in brackets.items()
+            if b[0] < b[1] and n_values[cp[0]] * width > BRACKET_ROWS}
+    if not wide:
+        return brackets
+    points = [i / BRACKET_STEPS for i in range(BRACKET_STEPS + 1)]
+    aggs = []
+    for i, ((c, _), (low, high)) in enumerate(wide.items()):
+        v = F.col(c).cast("double")
+        inside = F.when(v.between(low, high), v)
+        aggs += [F.count_if(v < low).alias(f"b{i}"), F.count(inside).alias(f"n{i}"),
+                 F.percentile_approx(inside, points, BRACKET_ACCURACY).alias(f"q{i}")]
+    row = df.agg(*aggs).first()
+    out = dict(brackets)
+    for i, (c, p) in enumerate(wide):
+        rank = p * (n_values[c] - 1) - row[f"b{i}"]
+        at = int(rank / row[f"n{i}"] * BRACKET_STEPS)
+        steps = row[f"q{i}"]
+        out[c, p] = (steps[max(0, at - 1)], steps[min(BRACKET_STEPS, at + 2)])
+    return out
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities,
@@ -262,6 +297,19 @@ def _text_measures() -> dict:
     return out
 
 
+def common_shapes(groups: DataFrame) -> DataFrame:
+    """Per column, the shapes that may reach 5 % of its values, with their rows.
+
+    ``groups`` are value groups; a shape is taken once per distinct value.
+    At most twenty shapes of a column can reach the share. Its rank prunes
+    the rest per task before the shuffle.
+    """
+    counts = groups.groupBy("column", "shape_key").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "shape_key"))
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= int(1 / C.RARE_SHAPE_SHARE))
+    return top.groupBy("column").agg(F.collect_list(F.struct("shape_key", "n")).alias("shapes"))
+
+
 def fit(df: DataFrame, columns: list[str]) -> TableStats:
     """Statistics of ``columns``; ``df`` carries ``row_id``.
 
@@ -277,7 +325,9 @@ def fit(df: DataFrame, columns: list[str]) -> TableStats:
         parts.append(fixed_groups(df, fixed).groupBy("column").agg(*groups))
     if texts:
         extra = [e.alias(k) for k, e in _text_measures().items()]
-        parts.append(text_groups(df, texts).groupBy("column").agg(*groups, *extra))
+        values = text_groups(df, texts)
+        parts.append(values.groupBy("column").agg(*groups, *extra))
+        parts.append(common_shapes(values))
     found: dict[str, dict] = {c: {} for c in columns}
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).collect()
     for r in rows:
@@ -293,11 +343,18 @@ def fit(df: DataFrame, columns: list[str]) -> TableStats:
             dates={label: (f[f"date_{j}"], f[f"first_{j}"])
                    for j, (label, _) in enumerate(C.DATE_FORMATS) if f.get(f"date_{j}")},
         )
+    for c in texts:
+        common = [x for x in found[c].get("shapes", [])
+                  if x["n"] / out[c].n_values >= C.RARE_SHAPE_SHARE]
+        out[c].dominant_shape = max((x["n"] for x in found[c].get("shapes", [])), default=0)
+        out[c].common_shapes = [x["shape_key"] for x in common]
+        out[c].common_rows = sum(x["n"] for x in common)
     brackets = {
         (c, p): bracket
         for c in columns if found[c].get("points") and out[c].n_values >= 5
         for p, bracket in brackets_from(found[c]["points"], out[c].n_values, QUARTILES).items()
     }
+    brackets = narrow_brackets(df, brackets, {c: s.n_values for c, s in out.items()})
     if brackets:
         for q in exact_quantiles(df, columns, QUARTILES, brackets).collect():
             setattr(out[q["column"]], "q1" if q["p"] == QUARTILES[0] else "q3", q["value"])
