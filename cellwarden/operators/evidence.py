@@ -82,16 +82,27 @@ def found(detector: str, column, score, observed, expected=None, reasons=(),
     return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 
-def _by_detector(values) -> Column:
-    return F.element_at(F.array(*values), F.col("detector_ord") + 1)
+def _sql(value) -> str:
+    """SQL literal of a constant; one parsed text is far cheaper to build than
+    a call per element."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    if isinstance(value, list):
+        return "array(" + ", ".join(_sql(v) for v in value) + ")"
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
+
+
+def _by_detector(values: list) -> Column:
+    """The entry of the row's detector in a list with one value per detector."""
+    return F.expr(f"element_at({_sql(values)}, detector_ord + 1)")
 
 
 def describe(evidence: DataFrame, dataset_id: str = "") -> DataFrame:
     """Complete evidence rows from what the detectors found."""
-    trait = lambda i: _by_detector([F.lit(TRAITS[d][i]).cast("string") for d in C.DETECTORS])
-    counter = _by_detector([F.array(*[F.lit(t) for t in TRAITS[d][3]]) for d in C.DETECTORS])
-    authority = _by_detector([F.lit(REQUIRED_AUTHORITY.get(d, 0)) for d in C.DETECTORS])
-    detector = _by_detector([F.lit(d) for d in C.DETECTORS])
+    trait = lambda i: _by_detector([TRAITS[d][i] for d in C.DETECTORS])
+    counter = trait(3)
+    authority = _by_detector([REQUIRED_AUTHORITY.get(d, 0) for d in C.DETECTORS])
+    detector = _by_detector(list(C.DETECTORS))
     evidence_id = F.sha2(
         F.concat_ws("|", F.lit(dataset_id), "row_id", "column", detector, "seq"), 256)
     return evidence.select(
