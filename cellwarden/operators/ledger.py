@@ -127,23 +127,41 @@ def leaf_hash(ts_format: str = "yyyy-MM-dd HH:mm:ss") -> Column:
         F.coalesce(details, F.lit("")), F.date_format("ts", ts_format)), 256)
 
 
-def block_roots(ledger: DataFrame, blocks: int) -> DataFrame:
-    """One digest per block of events.
+# Most events of a block, and digests joined into one at the levels above.
+BLOCK_EVENTS = 1000
+FAN_OUT = 1000
 
-    ``blocks`` is chosen so that a block holds a bounded number of events:
-    events / blocks digests of 64 characters are joined in one string.
-    """
-    block = F.pmod(F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint"), F.lit(blocks)).cast("int")
+
+def block_count(ledger: DataFrame, events_per_block: int = BLOCK_EVENTS) -> int:
+    """Blocks that keep the expected block at the given size."""
+    return max(1, -(-ledger.count() // events_per_block))
+
+
+def block_roots(ledger: DataFrame, blocks: int) -> DataFrame:
+    """One digest per block of events; ids spread evenly over the blocks."""
+    block = F.pmod(F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint"), F.lit(blocks))
     leaves = ledger.select(block.alias("block"), leaf_hash().alias("leaf"))
     return leaves.groupBy("block").agg(
         F.count("*").alias("events"),
         F.sha2(F.concat_ws("", F.array_sort(F.collect_list("leaf"))), 256).alias("block_root"))
 
 
-def batch_root(roots: DataFrame, previous: str = "") -> DataFrame:
-    """Digest over all block roots, chained to the previous batch's digest."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "block_root"))),
-                          lambda b: b["block_root"])
+def _in_order() -> Column:
+    ordered = F.array_sort(F.collect_list(F.struct("block", "block_root")))
+    return F.concat_ws("", F.transform(ordered, lambda b: b["block_root"]))
+
+
+def batch_root(roots: DataFrame, blocks: int, previous: str = "") -> DataFrame:
+    """Digest over all block roots, chained to the previous batch's digest.
+
+    Many blocks are digested level by level, so that no task joins more than
+    ``FAN_OUT`` digests.
+    """
+    while blocks > FAN_OUT:
+        roots = roots.groupBy(F.floor(F.col("block") / FAN_OUT).alias("parent")).agg(
+            F.sum("events").alias("events"), F.sha2(_in_order(), 256).alias("block_root")
+        ).withColumnRenamed("parent", "block")
+        blocks = -(-blocks // FAN_OUT)
     return roots.agg(
         F.sum("events").alias("events"),
-        F.sha2(F.concat_ws("", F.lit(previous), F.concat_ws("", ordered)), 256).alias("batch_root"))
+        F.sha2(F.concat(F.lit(previous), _in_order()), 256).alias("batch_root"))

@@ -138,13 +138,19 @@ def number_rows(df: DataFrame) -> DataFrame:
     )
 
 
+# Estimated bytes up to which an input is kept in memory.
+SMALL_INPUT = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Cache a table that comes in fewer pieces than there are cores.
+    """Cache a small table in one piece per core.
 
-    Such an input is small, yet a few tasks would do all the work of every
-    pass over it. Anything larger is returned as it is.
+    A small file is often a single piece, and one task would do the work of
+    every pass over it. The optimizer's size estimate decides, without
+    running anything; it errs upwards for joins. Anything larger, or of
+    unknown size, is returned as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate > SMALL_INPUT:
         return df
-    return df.repartition(cores).persist()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist()

@@ -47,6 +47,8 @@ def test_row_numbers_follow_the_file(spark):
 
 
 def test_small_input_is_spread(spark):
+    big = spark.range(1 << 40)
+    assert files.spread(big) is big
     assert files.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
@@ -116,11 +118,14 @@ def test_ledger_tampering_changes_the_root(spark, tmp_path):
     path = str(tmp_path / "ledger")
     ledger.append_events(base, path)
     stored = spark.read.parquet(path)
-    root = lambda df, prev="": ledger.batch_root(ledger.block_roots(df, 8), prev).first()["batch_root"]
+    root = lambda df, prev="": ledger.batch_root(ledger.block_roots(df, 8), 8, prev).first()["batch_root"]
     assert root(stored) == root(base.repartition(5))
     changed = base.withColumn("details", F.when(F.col("details")["n"] == "7", F.create_map(F.lit("n"), F.lit("8"))).otherwise(F.col("details")))
     assert root(changed) != root(base)
     assert root(base, "x") != root(base)
+    many = ledger.block_count(base, 1)
+    deep = ledger.batch_root(ledger.block_roots(base, many * 20), many * 20).first()
+    assert deep["events"] == 200 and deep["batch_root"] != root(base)
     assert ledger.query_events(stored, "d", limit=3, offset=1).count() == 3
     assert ledger.timeline(stored, "d").first()["details"]["n"] == "0"
 

@@ -169,16 +169,19 @@ def re5(spark, d):
 
 # --- reviews ----------------------------------------------------------------
 
-# Each escalated decision of an even row gets two submissions, some invalid.
-_REV = """rev AS (SELECT row_id, col, r, CASE WHEN (row_id + r) % 3 = 0 THEN 'APPROVE' WHEN (row_id + r) % 3 = 1 THEN 'REJECT' ELSE 'EDIT' END AS action,
-  CASE WHEN (row_id + r) % 3 = 2 AND row_id % 4 = 0 THEN 'v' END AS edited_value FROM dec, (VALUES (1), (2)) x(r) WHERE decision = 'ESCALATE' AND row_id % 2 = 0),
+# Every escalated decision gets two submissions. Those of odd rows are edits
+# without a value, which do not count.
+_REV = """rev AS (SELECT row_id, col, r, CASE WHEN row_id % 2 = 1 THEN 'EDIT' WHEN (row_id + r) % 3 = 0 THEN 'APPROVE'
+  WHEN (row_id + r) % 3 = 1 THEN 'REJECT' ELSE 'EDIT' END AS action,
+  CASE WHEN row_id % 2 = 0 AND (row_id + r) % 3 = 2 AND row_id % 4 = 0 THEN 'v' END AS edited_value
+  FROM dec, (VALUES (1), (2)) x(r) WHERE decision = 'ESCALATE'),
 val AS (SELECT * FROM rev WHERE action <> 'EDIT' OR edited_value IS NOT NULL),
 last AS (SELECT row_id, col, max(r) AS r, arg_max(action, r) AS action FROM val GROUP BY 1, 2)"""
 
 
 def _submissions(decisions):
-    k = (F.col("row_id") + F.col("r")) % 3
-    return decisions.where("decision = 'ESCALATE' AND row_id % 2 = 0").select(
+    k = F.when(F.col("row_id") % 2 == 0, (F.col("row_id") + F.col("r")) % 3).otherwise(3)
+    return decisions.where("decision = 'ESCALATE'").select(
         "decision_id", "row_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("r")
     ).select(
         "decision_id", F.when(k == 0, "APPROVE").when(k == 1, "REJECT").otherwise("EDIT").alias("action"),
@@ -283,13 +286,14 @@ def au4(spark, d):
 
 @query("au5_hash_batches", f"""WITH {_LEDGER}, l AS (SELECT sha256(id) AS hid, led.*, 'k=' || coalesce(json_extract_string(props, '$.k'), '') AS det
   FROM led JOIN events ON led.id = CAST(event_id AS VARCHAR)),
-leaf AS (SELECT CAST(('0x' || substr(hid, 1, 8)) AS BIGINT) % 64 AS block,
+leaf AS (SELECT CAST(('0x' || substr(hid, 1, 8)) AS BIGINT) % (SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) FROM events) AS block,
   sha256(concat_ws('|', hid, event_type, actor, dataset_id, '', det, strftime(ts, '%Y-%m-%d %H:%M:%S'))) AS leaf FROM l),
 roots AS (SELECT block, count(*) AS events, sha256(string_agg(leaf, '' ORDER BY leaf)) AS block_root FROM leaf GROUP BY 1)
 SELECT sum(events) AS events, sha256('genesis' || string_agg(block_root, '' ORDER BY block)) AS batch_root FROM roots""")
 def au5(spark, d):
     ledger = _event_ledger(spark, d).withColumn("id", F.sha2("id", 256))
-    return L.batch_root(L.block_roots(ledger, 64), "genesis")
+    blocks = L.block_count(ledger)
+    return L.batch_root(L.block_roots(ledger, blocks), blocks, "genesis")
 
 
 # --- catalog ----------------------------------------------------------------
