@@ -213,6 +213,8 @@ def narrow_brackets(df: DataFrame, brackets: dict, n_values: dict) -> dict:
     row = df.agg(*aggs).first()
     out = dict(brackets)
     for i, (c, p) in enumerate(wide):
+        if row[f"n{i}"] < 10 * BRACKET_STEPS:
+            continue  # a step must hold several rows to be a safe margin
         rank = p * (n_values[c] - 1) - row[f"b{i}"]
         at = int(rank / row[f"n{i}"] * BRACKET_STEPS)
         steps = row[f"q{i}"]

@@ -130,3 +130,19 @@ def test_text_classes_of_long_values(spark):
 def test_row_ids_come_from_the_key(spark):
     df = spark.createDataFrame([(5, "a")], "k int, v string")
     assert with_row_id(df, "k").first()["row_id"] == 5
+
+
+def test_narrowed_brackets_keep_the_quantiles(spark, monkeypatch):
+    from cellwarden.operators import stats as S
+
+    values = np.random.default_rng(8).lognormal(0, 3, 250_000)
+    df = spark.createDataFrame(pd.DataFrame({"x": values}))
+    probabilities = (0.25, 0.5, 0.999)
+    wide = S.quantile_brackets(df, ["x"], probabilities)
+    monkeypatch.setattr(S, "BRACKET_ROWS", 1)
+    assert S.quantile_brackets(df, ["x"], probabilities) == wide  # too few rows per step
+    monkeypatch.setattr(S, "BRACKET_STEPS", 4)
+    narrow = S.quantile_brackets(df, ["x"], probabilities)
+    assert all(narrow[k][1] - narrow[k][0] < wide[k][1] - wide[k][0] for k in wide)
+    for r in exact_quantiles(df, ["x"], probabilities).collect():
+        assert r["value"] == pytest.approx(np.percentile(values, r["p"] * 100), rel=1e-12)
