@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import xxhash
@@ -26,8 +27,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", base)
-    unique = spark.range(1).select(F.expr("uuid()")).first()[0]
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{unique}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4()}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

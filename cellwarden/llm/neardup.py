@@ -15,8 +15,9 @@ confirmed on the complete shingle sets of both texts.
 Texts with equal sets form a class and only classes are joined. In a key's
 bucket all members are first compared with the least one. When the components
 of those links are known, only buckets that still hold several components are
-compared further, and only across components: a group of near copies costs
-links in proportion to its size, and no link between components is lost.
+compared further, and only across components. That happens inside tasks, on
+pairs of blocks of bounded size, so that no group is ever written out as all
+its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ WIDTH = 5
 SHARE = 75  # percent of the union
 CHUNKS, LANES, BITS = 14, 6, 10
 MAX_DISTANCE = 44
+BLOCK = 400  # classes in a block; a task holds two blocks at a time
 
 _VALUES = CHUNKS * LANES
 _RNG = np.random.Generator(np.random.PCG64(20240611))
@@ -136,10 +138,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     """Edges (u, v) of the pairs (a, b) of classes that are similar enough on their full sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(
         classes.select("cid", "sample"), "cid")
-    texts = docs.select(F.col("doc_id"), text_key(F.col("text")).alias("hash"), "text")
-    texts = (texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["sample.doc_id"])
-                        & (texts["hash"] == wanted["sample.hash"]))
-             .select("cid", "text").dropDuplicates(["cid"]))
+    texts = _texts(wanted, docs)
     left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_confirm(width, share), "u long, v long")
@@ -154,6 +153,109 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             .filter(distance(F.col("sign_a"), F.col("sign_b")) <= MAX_DISTANCE).select("a", "b"))
 
 
+def _cross(width: int, share: int):
+    """Links between components inside each pair of blocks; rows come sorted by (block_a, block_b)."""
+    def links(rows: list[tuple], a: int, b: int, words: WordHashes) -> tuple[list[int], list[int]]:
+        cids = [r[1] for r in rows]
+        root = {r[2]: r[2] for r in rows}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        signs = np.array([r[3] for r in rows], np.int64).view(np.uint64)
+        values = ((signs[:, :, None] >> _PLACES) & np.uint64(_LANE)).astype(np.uint16).reshape(len(rows), -1)
+        sizes = np.array([r[4] for r in rows], np.int64)
+        of_b = np.array([r[0] == b for r in rows])
+        sets: dict[int, np.ndarray] = {}
+        us, vs = [], []
+        for i, row in enumerate(rows):
+            if row[0] != a:
+                continue
+            can = of_b & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * share)
+            if a == b:
+                can[:i + 1] = False
+            can = np.flatnonzero(can)
+            can = can[(values[can] != values[i]).sum(axis=1) <= MAX_DISTANCE]
+            for j in can:
+                x, y = find(row[2]), find(rows[j][2])
+                if x == y:
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = shingle_set(rows[k][5], words, width)
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= share * (len(sets[i]) + len(sets[j]) - both):
+                    root[max(x, y)] = min(x, y)
+                    us.append(cids[i])
+                    vs.append(cids[j])
+        return us, vs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, now, rows = WordHashes(), None, []
+        for batch in batches:
+            us, vs = [], []
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:2] != now:
+                    if rows:
+                        u, v = links(rows, *now, words)
+                        us += u
+                        vs += v
+                    now, rows = r[:2], []
+                rows.append(r[2:])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        if rows:
+            u, v = links(rows, *now, words)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    return run
+
+
+def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, text) for the classes in ``wanted``(cid, sample)."""
+    texts = docs.select(F.col("doc_id"), text_key(F.col("text")).alias("hash"), "text")
+    return (texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["sample.doc_id"])
+                       & (texts["hash"] == wanted["sample.hash"]))
+            .select("cid", "text").dropDuplicates(["cid"]))
+
+
+def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame,
+            width: int, share: int) -> DataFrame | None:
+    """Links between components of buckets that still hold several; none: None.
+
+    Classes are put in blocks of about ``BLOCK`` by the least head of their
+    buckets, so that a group's members meet in few blocks. Blocks that share a
+    bucket are compared, all members of one with all of the other.
+    """
+    of = labels.select(F.col("node").alias("cid"), "component")
+    lead_of = labels.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))
+    mixed = (members.join(of, "cid").join(lead_of, "lead").filter("component <> lead_component")
+             .select("key").distinct())
+    rows = members.join(mixed, "key", "left_semi")
+    side = stored(rows.select("key", "lead", "cid").union(rows.select("key", "lead", F.col("lead")).distinct()), "mixed")
+    if side.isEmpty():
+        return None
+    home = side.groupBy("cid").agg(F.min("lead").alias("home"))
+    parts = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    blocks = stored(
+        home.join(parts, "home").join(of, "cid")
+        .select("cid", "component", F.xxhash64("home", F.pmod(F.xxhash64("cid"), "parts")).alias("block")), "blocks")
+    span = blocks.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    met = side.join(blocks.select("cid", "block"), "cid").select("key", "block").distinct().join(span, "block")
+    one = met.select("key", F.col("block").alias("block_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+    two = met.select("key", F.col("block").alias("block_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    pairs = (one.join(two, "key").filter("block_a <= block_b and least(lo_a, lo_b) < greatest(hi_a, hi_b)")
+             .select("block_a", "block_b").distinct())
+    each = pairs.select("block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    wanted = blocks.join(classes.select("cid", "sample", "signature", "n_shingles"), "cid")
+    full = wanted.join(_texts(wanted.select("cid", "sample"), docs), "cid")
+    rows = (each.join(full, "block")
+            .select("block_a", "block_b", "block", "cid", "component", "signature", "n_shingles", "text")
+            .repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b"))
+    return rows.mapInArrow(_cross(width, share), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """doc_id, hash, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
@@ -174,7 +276,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) ->
     classes = stored(
         rows.filter("n_shingles > 0").groupBy("set_name")
         .agg(F.min("doc_id").alias("name"), F.min(F.struct("doc_id", "hash")).alias("sample"),
-             F.any_value("signature").alias("signature"))
+             F.any_value("signature").alias("signature"), F.any_value("n_shingles").alias("n_shingles"))
         .withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     keys = bucket_keys(classes)
@@ -184,22 +286,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) ->
     edges = stored(confirmed(first, classes, docs, width, share), "links")
     labels = components(edges)
 
-    # Buckets whose members are not all in one component by now: compare across components.
-    tagged = (members.join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left")
-              .withColumn("component", F.coalesce("component", "cid"))
-              .join(labels.select(F.col("node").alias("lead"), F.col("component").alias("lead_component")), "lead", "left")
-              .withColumn("lead_component", F.coalesce("lead_component", "lead")))
-    mixed = tagged.filter("component <> lead_component").select("key").distinct()
-    side = tagged.join(mixed, "key", "left_semi").join(classes.select("cid", "signature"), "cid").select(
-        "key", "cid", "component", "signature")
-    other = side.select("key", *[F.col(c).alias(f"{c}_2") for c in ("cid", "component", "signature")])
-    across = (side.join(other, (side["key"] == other["key"]) & (F.col("cid") < F.col("cid_2"))
-                        & (F.col("component") != F.col("component_2"))
-                        & (distance(F.col("signature"), F.col("signature_2")) <= MAX_DISTANCE))
-              .select(F.col("cid").alias("a"), F.col("cid_2").alias("b")).distinct())
-    across = stored(across, "pairs")
-    if not across.isEmpty():
-        more = confirmed(across, classes, docs, width, share)
+    labels = classes.select(F.col("cid").alias("node")).join(labels, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    more = _across(members, labels, classes, docs, width, share)
+    if more is not None:
         edges = stored(edges.union(more), "links")
         labels = components(edges)
 
