@@ -57,3 +57,12 @@ def op2_decontamination(spark, sf_dir):
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query()
+def op8_secret_scan(spark, sf_dir):
+    from cellwarden.llm.secret_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"),
+        F.col("all_spans").alias("spans"))
