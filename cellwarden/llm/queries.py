@@ -66,3 +66,26 @@ def op8_secret_scan(spark, sf_dir):
     return scan(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"),
         F.col("all_spans").alias("spans"))
+
+
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+@query()
+def op7_bpe(spark, sf_dir):
+    from cellwarden.llm.bpe import digests
+
+    return digests(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
+@query()
+def op9_quality_fm(spark, sf_dir):
+    from cellwarden.llm.quality_fm import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
