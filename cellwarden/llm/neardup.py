@@ -13,9 +13,8 @@ Candidates far apart (more than 44 of 84 values, which a pair of similarity
 confirmed on the complete shingle sets of both texts.
 
 Texts with equal sets form a class and only classes are joined. In a key's
-bucket all members are first compared with the least one. When the components
-of those links are known, only buckets that still hold several components are
-compared further, and only across components. That happens inside tasks, on
+bucket all members are first compared with the least one. Only buckets whose members are not all linked
+by that are compared further, and only across what is not linked yet. That happens inside tasks, on
 pairs of blocks of bounded size, so that no group is ever written out as all
 its pairs, and no link between components is lost.
 """
@@ -220,12 +219,27 @@ def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             .select("cid", "text").dropDuplicates(["cid"]))
 
 
+def _jumped(heads: DataFrame) -> DataFrame:
+    """(node, head) with each head replaced by its own head, twice."""
+    for _ in range(2):
+        above = heads.select(F.col("node").alias("head"), F.col("head").alias("above"))
+        heads = heads.join(above, "head", "left").select("node", F.coalesce("above", "head").alias("head"))
+    return heads
+
+
+def _first_labels(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component): nodes of one label are linked for certain, others may be too."""
+    heads = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("head"))
+    return stored(classes.select(F.col("cid").alias("node")).join(_jumped(heads), "node", "left").select(
+        "node", F.coalesce("head", "node").alias("component")), "labels")
+
+
 def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame,
             width: int, share: int) -> DataFrame | None:
     """Links between components of buckets that still hold several; none: None.
 
     Classes are put in blocks of about ``BLOCK`` by the least head of their
-    buckets, so that a group's members meet in few blocks. Blocks that share a
+    buckets, and that one's least head, so that a group's members meet in few blocks. Blocks that share a
     bucket are compared, all members of one with all of the other.
     """
     of = labels.select(F.col("node").alias("cid"), "component")
@@ -236,7 +250,8 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
     side = stored(rows.select("key", "lead", "cid").union(rows.select("key", "lead", F.col("lead")).distinct()), "mixed")
     if side.isEmpty():
         return None
-    home = side.groupBy("cid").agg(F.min("lead").alias("home"))
+    home = _jumped(side.groupBy(F.col("cid").alias("node")).agg(F.min("lead").alias("head"))).select(
+        F.col("node").alias("cid"), F.col("head").alias("home"))
     parts = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     blocks = stored(
         home.join(parts, "home").join(of, "cid")
@@ -284,14 +299,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) ->
     members = stored(keys.join(leads.select("key", "lead"), "key").filter("cid > lead"), "buckets")
     first = _near(members.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), classes)
     edges = stored(confirmed(first, classes, docs, width, share), "links")
-    labels = components(edges)
-
-    labels = classes.select(F.col("cid").alias("node")).join(labels, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    more = _across(members, labels, classes, docs, width, share)
+    more = _across(members, _first_labels(edges, classes), classes, docs, width, share)
     if more is not None:
-        edges = stored(edges.union(more), "links")
-        labels = components(edges)
+        edges = edges.union(more)
+    labels = components(edges)
 
     names = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid"))
