@@ -89,3 +89,24 @@ def op9_quality_fm(spark, sf_dir):
     from cellwarden.llm.quality_fm import classify
 
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query()
+def op1_quality_rules(spark, sf_dir):
+    from cellwarden.llm.quality_rules import judge
+
+    return judge(_table(spark, sf_dir, "documents")).drop("hash")
+
+
+@query()
+def op3_pii(spark, sf_dir):
+    from cellwarden.llm.pii import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_token_counts(spark, sf_dir):
+    from cellwarden.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), _vocabulary())
