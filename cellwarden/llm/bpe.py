@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT = 400_000  # pre-tokens remembered per worker
+KEPT = 600_000  # pre-tokens remembered per worker and generation
 KEPT_LENGTH = 64  # longer ones are encoded each time
 
 
@@ -79,7 +80,7 @@ class Bpe:
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.table = _Known(self)
-        self.fits = lru_cache(1 << 18)(self._fits)
+        self.fits = lru_cache(1 << 19)(self._fits)
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether a and b can stand side by side in an encoding.
@@ -105,15 +106,12 @@ class Bpe:
         mapped = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.as_chars)
         n = len(mapped)
         last = [-1] * (n + 1)  # the token that ends the encoding of each prefix
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, token in self.automaton.iter(mapped):
-            ends[end].append(token)
-        for end in range(n):
-            for length, token in sorted(ends[end], reverse=True):
+        # Places come in order, at each the longest token first.
+        for end, (length, token) in self.automaton.iter(mapped):
+            if last[end + 1] < 0:
                 start = end + 1 - length
                 if start == 0 or (last[start] >= 0 and self.fits(last[start], token)):
                     last[end + 1] = token
-                    break
         out, at = [], n
         while at > 0:
             token = last[at]
@@ -140,16 +138,17 @@ class Bpe:
 
 
 class _Known(dict):
-    """Ids by pre-token; forgets all when full."""
+    """Ids by pre-token, in two generations: a full one becomes the old one, whose used entries return."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.old = bpe, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.pre_token(piece), "<u4").tobytes()
+        ids = self.old.get(piece) or array("I", self.bpe.pre_token(piece)).tobytes()
         if len(piece) <= KEPT_LENGTH:
             if len(self) >= KEPT:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 LIMIT = 1024
 BATCH_BYTES = 1 << 20
-KEPT = 500_000  # pieces remembered per worker
+KEPT = 1_000_000  # pieces remembered per worker
 KEPT_LENGTH = 64
 
 _SAFE = re.compile(r"(?<=\S)(?= )")
@@ -43,7 +43,7 @@ def counts(texts: list[str], tokenizer, known: dict[str, int]) -> list[int]:
     batch, size = [], 0
 
     def flush():
-        for p, e in zip(batch, tokenizer.encode_batch(batch, add_special_tokens=False), strict=True):
+        for p, e in zip(batch, tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
             lengths[p] = len(e)
 
     for p in fresh:
