@@ -110,3 +110,27 @@ def op5_token_counts(spark, sf_dir):
     from cellwarden.llm.token_counts import token_counts
 
     return token_counts(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
+@query(r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM m
+""")
+def op6_warc(spark, sf_dir):
+    from cellwarden.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op10_license_scan(spark, sf_dir):
+    """The documents as files ``source/lang/doc_id``."""
+    from cellwarden.llm.license_scan import licenses
+
+    docs = _table(spark, sf_dir, "documents")
+    return licenses(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
