@@ -152,7 +152,7 @@ def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def matches(r: int, rule: Rule) -> Column:
         regex, text = F.lit(rule.regex), F.col("text")
-        if rule.group == 0 and re_repeats(rule.regex):
+        if rule.group == 0 and is_run(rule.regex):
             # Runs of one class: those long enough, found directly.
             regex = F.lit(rule.regex[:-1] + "{%d,}" % rule.least)
         full = [] in trigram_query(rule.regex)
@@ -177,9 +177,9 @@ def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             .select("doc_id", "hash", "rule", (F.col("end") - F.col("size")).alias("start"), "end"))
 
 
-def re_repeats(regex: str) -> bool:
-    """Whether a regex is one class or prefix and class, repeated with a final plus."""
-    return regex.endswith("]+") and "(" not in regex and regex.count("[") == 1
+def is_run(regex: str) -> bool:
+    """Whether a regex is one class, repeated with a final plus: its matches are maximal runs."""
+    return regex.startswith("[") and regex.endswith("]+") and regex.count("[") == 1 and "\\" not in regex
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
