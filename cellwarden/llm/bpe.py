@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT = 600_000  # pre-tokens remembered per worker and generation
+KEPT = 200_000  # pre-tokens remembered per worker and generation
 KEPT_LENGTH = 64  # longer ones are encoded each time
 
 
@@ -80,7 +80,7 @@ class Bpe:
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.table = _Known(self)
-        self.fits = lru_cache(1 << 19)(self._fits)
+        self.fits = lru_cache(1 << 17)(self._fits)
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether a and b can stand side by side in an encoding.

@@ -63,7 +63,7 @@ def keep_rows(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), each computed once; forgets all beyond ``most`` words."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

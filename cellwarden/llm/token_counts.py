@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 LIMIT = 1024
 BATCH_BYTES = 1 << 20
-KEPT = 1_000_000  # pieces remembered per worker
+KEPT = 400_000  # pieces remembered per worker
 KEPT_LENGTH = 64
 
 _SAFE = re.compile(r"(?<=\S)(?= )")
