@@ -36,14 +36,14 @@ def is_string(data_type: T.DataType) -> bool:
 
 
 def data_columns(df: DataFrame, key: str, columns=None) -> list[str]:
-    """The checked columns, in table order. The added row id is not one."""
-    wanted = df.columns if columns is None else columns
+    """The checked columns, in table order. The key and the added row id are checked only if asked for by name."""
+    wanted = [c for c in df.columns if c != key] if columns is None else columns
     return [c for c in df.columns if c in set(wanted) and c != "row_id"]
 
 
 def with_row_id(df: DataFrame, key: str) -> DataFrame:
     """Add the ``row_id`` column from a unique numeric key column."""
-    return df if key == "row_id" else df.withColumn("row_id", F.col(key).cast("bigint"))
+    return df if key == "row_id" else df.withColumn("row_id", F.col(key).try_cast("bigint"))
 
 
 def text_of(c: str, data_type: T.DataType) -> Column:

@@ -112,23 +112,66 @@ def with_similarity(pairs: DataFrame, a: str, b: str, longest: int) -> DataFrame
     )
 
 
-def near_duplicate_columns(stats: TableStats, max_distinct: int = C.NEAR_DUP_MAX_DISTINCT) -> list[str]:
-    """Categorical string columns; without a repeated and a single value, none match."""
+def near_duplicate_columns(stats: TableStats, max_distinct: int | None = None) -> list[str]:
+    """String columns with a repeated value; ``max_distinct`` keeps to categorical ones."""
     return [c for c in _string_columns(stats, 5)
-            if 2 <= stats.columns[c].n_distinct <= max_distinct and stats.columns[c].top_count > 1]
+            if 2 <= stats.columns[c].n_distinct <= (max_distinct or stats.columns[c].n_distinct)
+            and stats.columns[c].top_count > 1]
+
+
+def _most_edits(a: Column, b: Column) -> Column:
+    """Insertions and deletions between texts of two lengths at the threshold."""
+    return F.floor((1 - C.SIMILARITY_MIN) * (a + b) + 1e-9).cast("int")
+
+
+def _cuts(length: Column) -> Column:
+    """(piece, start, size): a text of ``length`` cut into one piece more than any partner's edits."""
+    t = C.SIMILARITY_MIN
+    pieces = F.least(length, _most_edits(length, F.floor(length * (2 - t) / t + 1e-9)) + 1)
+    bound = lambda i: F.floor(i * length / pieces).cast("int")
+    return F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(
+        i.alias("piece"), bound(i).alias("start"), (bound(i + 1) - bound(i)).alias("size")))
+
+
+def blocked_pairs(single: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Pairs that can reach the threshold, met on a shared piece.
+
+    With fewer edits than pieces one piece of the repeated text survives, and
+    edits move it by no more than their number. So the single text is probed
+    for every piece at every such place; no pair is missed, and texts that
+    share no piece never meet. For texts too short to be cut finely enough,
+    a pair needs to share one character.
+    """
+    low = F.lower(F.col("canonical"))
+    right = repeated.where("len > 0").select(
+        "*", F.explode(_cuts(F.col("len"))).alias("cut")).select(
+        "*", F.col("cut.piece").alias("piece"),
+        F.substring(low, F.col("cut.start") + 1, F.col("cut.size")).alias("part")).drop("cut")
+    text = F.lower(F.col("value"))
+    n = F.length(text)
+    reach = _most_edits(n, F.col("len"))
+    probes = single.where("len > 0").select("*", F.explode(_cuts(F.col("len"))).alias("cut")).select(
+        "*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("cut.start") - reach),
+                                  F.greatest(F.lit(0), F.col("cut.start") + reach))).alias("at"))
+    left = probes.where(F.col("at") + F.col("cut.size") <= n).select(
+        "column", "value", "row_id", "len", F.col("cut.piece").alias("piece"),
+        F.substring(text, F.col("at") + 1, F.col("cut.size")).alias("part")).distinct()
+    return left.join(right, ["column", "len", "piece", "part"]).drop("piece", "part").distinct()
 
 
 def near_duplicates(df: DataFrame, stats: TableStats, safe_columns=None,
-                    names: list[str] | None = None) -> DataFrame | None:
+                    names: list[str] | None = None, max_distinct: int | None = None) -> DataFrame | None:
     """Single values close to a repeated one; the first such one is expected.
 
-    Works on the distinct values, at most 500 per column by the rule itself.
-    Partners meet on (column, length), never all against all. A single value
-    sits in exactly one row, its first, so no join back to the table follows.
+    Works on the distinct values. In columns of up to ``NEAR_DUP_MAX_DISTINCT``
+    of them partners meet on (column, length); beyond it also on a shared
+    piece of text. A single value sits in exactly one row, its first, so no
+    join back to the table follows.
     """
-    names = [c for c in near_duplicate_columns(stats) if names is None or c in names]
+    names = [c for c in near_duplicate_columns(stats, max_distinct) if names is None or c in names]
     if not names:
         return None
+    many = [c for c in names if stats.columns[c].n_distinct > C.NEAR_DUP_MAX_DISTINCT]
     values = value_frequencies(df, names)
     single = values.where("n = 1").select(
         "column", "value", F.col("first_row").alias("row_id"),
@@ -138,7 +181,10 @@ def near_duplicates(df: DataFrame, stats: TableStats, safe_columns=None,
         "column", F.col("value").alias("canonical"), F.col("n").alias("canonical_count"),
         F.col("first_row").alias("canonical_row"), F.length(F.lower("value")).alias("len"),
     )
-    pairs = single.join(repeated, ["column", "len"])
+    few = ~F.col("column").isin(*many) if many else F.lit(True)
+    pairs = single.where(few).join(repeated.where(few), ["column", "len"])
+    if many:
+        pairs = pairs.unionByName(blocked_pairs(single.where(~few), repeated.where(~few)).select(*pairs.columns))
     longest = max(stats.columns[c].max_length for c in names)
     close = with_similarity(pairs, "value", "canonical", longest).where(
         (F.col("ratio") >= C.SIMILARITY_MIN) & (F.col("ratio") < 1.0))

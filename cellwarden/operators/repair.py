@@ -22,12 +22,13 @@ def apply_repairs(df: DataFrame, edits: DataFrame, columns: list[str]) -> DataFr
 
     ``df`` carries ``row_id``. Edits to unknown rows or columns have no
     effect, and a text that does not fit the column's type leaves the cell as
-    it is. One left join: the edits of a row (bounded by its columns) become
+    it is. Of several edits of a cell the one with the greatest ``command_id``
+    counts, where the edits carry it. One left join: the edits of a row (bounded by its columns) become
     one map, and AQE broadcasts that side when it turns out small.
     """
+    edits = edits.where(F.col("column").isin(*columns))
     per_row = (
-        edits.where(F.col("column").isin(*columns)).groupBy("row_id", "column")
-        .agg(F.max("new_value").alias("new_value"))
+        last_edit(edits, "command_id" if "command_id" in edits.columns else "new_value")
         .groupBy("row_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("column", "new_value"))).alias("_edits"))
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-
+from cellwarden import constants as C
 from cellwarden.operators import decide as D
 from cellwarden.operators import relate as R
 from cellwarden.operators.cells import data_columns, with_row_id
@@ -54,12 +55,14 @@ def safe_repair_columns(stats: TableStats) -> list[str]:
             and sum(n for n, _ in s.dates.values()) * 2 < max(s.n_values, 1)]
 
 
-def find_evidence(df: DataFrame, stats: TableStats, fds: list, parity: bool = False) -> DataFrame:
+def find_evidence(df: DataFrame, stats: TableStats, fds: list, parity: bool = False,
+                  near_duplicate_distinct: int | None = C.NEAR_DUP_MAX_DISTINCT) -> DataFrame:
     """What all eleven detectors find in a table that carries ``row_id``."""
     parts = [
         row_evidence(df, stats, iso_values=not parity),
         R.rare_patterns(df, stats),
-        R.near_duplicates(df, stats, None if parity else safe_repair_columns(stats)),
+        R.near_duplicates(df, stats, None if parity else safe_repair_columns(stats),
+                          max_distinct=near_duplicate_distinct),
         R.duplicate_keys(df, stats),
         R.fd_violations(df, stats, fds),
     ]
@@ -68,25 +71,39 @@ def find_evidence(df: DataFrame, stats: TableStats, fds: list, parity: bool = Fa
     return R.union_all(parts)
 
 
+def check_key(df: DataFrame) -> None:
+    """Raise unless ``row_id`` names each row: two rows under one id would be repaired as one."""
+    ids = df.select("row_id")
+    bad = ids.where("row_id IS NULL").limit(1).union(
+        ids.groupBy("row_id").agg(F.count("*").alias("n")).where("n > 1").select("row_id").limit(1)).first()
+    if bad is not None:
+        raise ValueError(f"the key is not unique, numeric and filled in every row (for example {bad[0]}); "
+                         "use sources.files.number_rows to number the rows")
+
+
 def analyze(df: DataFrame, key: str, dataset_id: str = "dataset", columns=None,
-            parity: bool = False) -> Analysis:
+            parity: bool = False, near_duplicate_distinct: int | None = C.NEAR_DUP_MAX_DISTINCT) -> Analysis:
     """Profile, detect, fuse and decide.
 
-    ``key`` is a unique numeric column used as the row id. Two small jobs run
+    ``key`` is a unique numeric column used as the row id, checked over all
+    rows: repeated, null or text keys are refused. Two small jobs run
     at once: column statistics, and the mined dependencies (at most one per
     pair of columns). Everything after that is lazy.
 
     ``parity`` keeps two behaviours that the safe default avoids: near
     duplicates of identifiers and the like are repaired automatically, and
-    automatic date decisions carry no value.
+    automatic date decisions carry no value. ``near_duplicate_distinct`` is
+    the most distinct values a column may have for the near-duplicate rule;
+    None searches every string column.
     """
     table = spread(with_row_id(df, key))
+    check_key(table)
     names = data_columns(table, key, columns)
     stats = fit(table, names)
     mined = R.mine_fds(table, stats)
     fds = [] if mined is None else sorted(
         ((r["x"], r["y"], r["confidence"]) for r in mined.collect()),
         key=lambda t: (names.index(t[0]), names.index(t[1])))
-    evidence = describe(find_evidence(table, stats, fds, parity), dataset_id)
+    evidence = describe(find_evidence(table, stats, fds, parity, near_duplicate_distinct), dataset_id)
     decisions = D.decide(D.gate_context(evidence), blank_unknown_repairs=parity)
     return Analysis(dataset_id, table, names, stats, fds, evidence, decisions)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- Fixed values: readable formats by suffix ------------------------------
 SEPARATORS = {".csv": ",", ".tsv": "\t"}
@@ -43,22 +44,36 @@ def column_types(lines: DataFrame, names: list[str]) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8",
-             keep_leading_zeros: bool = False) -> DataFrame:
+             keep_leading_zeros: bool = False, line_breaks: bool = True) -> DataFrame:
     """A delimited file or folder with a header row.
 
     All columns are read as text first and typed by one aggregate, so the
     result does not depend on a sample. Lines with too many fields lose the
     rest, missing fields are null. ``keep_leading_zeros`` leaves a column
     with values such as 0901 as text.
+
+    Quotes are doubled inside quoted fields, and fields may hold line breaks;
+    a file is then read by one task. ``line_breaks=False`` lets Spark split
+    large files that have none. Repeated header names are numbered.
     """
-    raw = spark.read.csv(
-        path, header=True, sep=SEPARATORS.get(suffix_of(path), ","), encoding=encoding,
-        mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-        enforceSchema=False, inferSchema=False,
+    options = dict(
+        sep=SEPARATORS.get(suffix_of(path), ","), encoding=encoding, escape='"', multiLine=line_breaks,
+        mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, inferSchema=False,
     )
+    names = header_names(spark, path, options)
+    if not names:
+        return spark.read.csv(path, header=True, **options)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in unique_names(names)])
+    raw = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, **options)
     return typed(raw, keep_leading_zeros)
 
 
+def header_names(spark: SparkSession, path: str, options: dict) -> list[str]:
+    """The first line's fields as they stand; an unnamed one gets its place."""
+    first = spark.read.csv(path, header=False, **options).first()
+    return [] if first is None else [f"_c{i}" if c is None else c for i, c in enumerate(first)]
+
+
 def typed(raw: DataFrame, keep_leading_zeros: bool = False) -> DataFrame:
     """A table of text columns with its numbers as numbers."""
     lines = raw.toDF(*unique_names(raw.columns))

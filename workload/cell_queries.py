@@ -68,6 +68,30 @@ def det7(spark, d):
     return _shown(R.near_duplicates(a.table, a.stats), "dq_customer")
 
 
+_PART_LABELS = """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN concat(left(t, 4), substring(t, 6)) ELSE t END AS label
+FROM (SELECT p_partkey, concat(p_brand, ' ', p_type, ' ', p_name) AS t FROM part)"""
+
+
+@query("det7b_near_duplicate_text", f"""WITH RECURSIVE l AS ({_PART_LABELS}),
+v AS (SELECT label AS val, count(*) AS c, min(p_partkey) AS row_id FROM l GROUP BY 1),
+cand AS (SELECT s.val, s.row_id, r.val AS canon, r.row_id AS cf, lower(s.val) AS a, lower(r.val) AS b FROM v s JOIN v r ON s.c = 1 AND r.c > 1
+  WHERE levenshtein(lower(s.val), lower(r.val)) <= 0.15 * (length(s.val) + length(r.val)) + 0.000001),
+lcs AS (SELECT *, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) AS r FROM cand
+  UNION ALL
+  SELECT val, row_id, canon, cf, a, b, i + 1, list_concat([0], list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(
+    range(1, j + 1), lambda m: greatest(r[m + 1], r[m] + CASE WHEN b[m] = a[i + 1] THEN 1 ELSE 0 END))))) FROM lcs WHERE i < length(a)),
+sim AS (SELECT *, 2.0 * r[length(b) + 1] / (length(a) + length(b)) AS ratio FROM lcs WHERE i = length(a))
+SELECT row_id, val, arg_min(canon, cf) AS canon, round(arg_min(ratio, cf), 4) AS score FROM sim WHERE ratio >= 0.85 AND ratio < 1 GROUP BY 1, 2""")
+def det7b(spark, d):
+    """A column of more than 500 distinct values, with a letter dropped in every fifth row."""
+    t = F.concat_ws(" ", "p_brand", "p_type", "p_name")
+    typo = F.concat(F.substring(t, 1, 4), F.substring(t, 6, 1000))
+    df = table(spark, d, "part").select(
+        F.col("p_partkey").alias("row_id"), F.when(F.col("p_partkey") % 5 == 0, typo).otherwise(t).alias("label"))
+    return R.near_duplicates(df, fit(df, ["label"])).select(
+        "row_id", F.col("observed_value").alias("val"), F.col("expected_value").alias("canon"), "score")
+
+
 @query("det8_duplicate_key", _ev_sql("dq_customer", O.DUPLICATES, 8))
 def det8(spark, d):
     a = analysis(spark, d, "dq_customer")

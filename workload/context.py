@@ -26,9 +26,11 @@ def analysis(spark: SparkSession, sf_dir: str, view: str) -> Analysis:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for written results, under the shared folder if one is set."""
+    """A new folder for written results under the shared folder; only local sessions may do without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"run-{name}-")
     app = spark.sparkContext.applicationId
     unique = spark.range(1).select(F.expr("uuid()")).first()[0]

@@ -313,8 +313,14 @@ def io7(spark, d):
 # --- streaming --------------------------------------------------------------
 
 def _event_stream(spark, d):
-    schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    """All events as a stream of four files in event order, one per batch."""
+    events, folder = table(spark, d, "events"), scratch(spark, "events")
+    bounds = events.select(F.col("ts").cast("timestamp").cast("double").alias("t")).agg(F.min("t"), F.max("t")).first()
+    t = F.col("ts").cast("timestamp").cast("double")
+    part = F.least(F.floor((t - F.lit(bounds[0])) * 4 / F.lit(bounds[1] - bounds[0] or 1.0)), F.lit(3))
+    for i in range(4):
+        events.where(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 _OUT = """WITH s AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, avg(value) AS mean, stddev_pop(value) AS sd FROM events) """
@@ -330,8 +336,8 @@ def st1(spark, d):
     return spark.read.parquet(out).select("row_id", "decision", "belief_error")
 
 
-def _collect_stream(spark, stream, mode):
-    """Run a stream over the files at hand and read what it wrote."""
+def _collect_stream(spark, stream, mode, keys=None):
+    """Run a stream over the files at hand and read what it wrote; of updates the last row per key."""
     out, checkpoint = scratch(spark, "out"), scratch(spark, "checkpoint")
 
     def write(batch, batch_id):
@@ -339,7 +345,11 @@ def _collect_stream(spark, stream, mode):
 
     (stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(out).drop("batch")
+    rows = spark.read.parquet(out)
+    if keys:
+        names = [c for c in rows.columns if c != "batch"]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("last")).select("last.*")
+    return rows.drop("batch")
 
 
 @query("st2_stream_duplicate_keys", """SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '2024-01-01') AS window_start, user_id, count(*) AS copies
@@ -347,7 +357,7 @@ FROM events GROUP BY 1, 2 HAVING count(*) > 1""")
 def st2(spark, d):
     events = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = ST.stream_key_counts(events, "user_id", "ts", "1 day", "1 day")
-    return _collect_stream(spark, counts, "update").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return _collect_stream(spark, counts, "update", ["window_start", "user_id"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("st2_stream_distinct", "SELECT event_id FROM events")
@@ -363,4 +373,4 @@ def st3(spark, d):
     baseline = fit(with_row_id(table(spark, d, "events"), "event_id"), ["value"])
     events = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     metrics = ST.quality_metrics(events, baseline, "value", "ts", "1 hour", "1 hour")
-    return _collect_stream(spark, metrics, "update").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return _collect_stream(spark, metrics, "update", ["window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
