@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwarden.llm.common import in_batches
+
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT = 200_000  # pre-tokens remembered per worker and generation
@@ -184,7 +186,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"),
                        F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, hash long, n_tokens long, ids binary, decoded string")
+    return in_batches(rows, run, "doc_id long, hash long, n_tokens long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -204,4 +206,4 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_batches(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

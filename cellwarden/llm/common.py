@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 # Largest table, in bytes as measured, that a broadcast() here may send out.
 BROADCAST_BYTES = 64 << 20
 
+# Rows in an Arrow batch.
+BATCH_ROWS = 1000
+
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -44,9 +47,12 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
-def spread(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns alone, so that extra or clashing ones never reach an operator."""
-    return docs.select(*[F.col(c) for c in columns])
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows: texts can be long, and a batch lies in memory whole."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
 
 
 def text_key(text: Column) -> Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwarden.llm.common import small, stored
+from cellwarden.llm.common import in_batches, small, stored
 
 LEAST_COSINE = 0.6
 FILE_SHARE = 0.5  # of a file's words that its licence unit must hold to speak for the directory
@@ -76,7 +76,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
                                          names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = in_batches(docs.select("text"), run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = {r["term"]: r["n"] for r in rows.collect()}  # at most the vocabulary
     return found.pop("", 0), found
 
@@ -129,8 +129,8 @@ def own_licenses(files: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), batch.column("path"), *[pa.array([g[i] for g in got], t) for i, t in enumerate(types)]],
                 names=["doc_id", "path", "license", "cosine", "unit_words", "file_words"])
 
-    return files.select("doc_id", "path", "text").mapInArrow(
-        run, "doc_id long, path string, license string, cosine double, unit_words long, file_words long")
+    return in_batches(
+        files.select("doc_id", "path", "text"), run, "doc_id long, path string, license string, cosine double, unit_words long, file_words long")
 
 
 def directory(path):

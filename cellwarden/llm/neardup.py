@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwarden.llm.common import ASCII_LOWER, WordHashes, stored, text_key, windows
+from cellwarden.llm.common import ASCII_LOWER, WordHashes, in_batches, stored, text_key, windows
 from cellwarden.llm.components import components
 
 WIDTH = 5
@@ -86,8 +86,7 @@ def _sketch(width: int):
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, hash (of the text), n_shingles, set_name (digest of the set) and signature for each row."""
     rows = docs.select("doc_id", text_key(F.col("text")).alias("hash"), "text")
-    return rows.mapInArrow(
-        _sketch(width), "doc_id long, hash long, n_shingles long, set_name binary, signature array<long>")
+    return in_batches(rows, _sketch(width), "doc_id long, hash long, n_shingles long, set_name binary, signature array<long>")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -140,7 +139,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     texts = _texts(wanted, docs)
     left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_confirm(width, share), "u long, v long")
+    full = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return in_batches(full, _confirm(width, share), "u long, v long")
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
     rows = (each.join(full, "block")
             .select("block_a", "block_b", "block", "cid", "component", "signature", "n_shingles", "text")
             .repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b"))
-    return rows.mapInArrow(_cross(width, share), "u long, v long")
+    return in_batches(rows, _cross(width, share), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwarden.llm.common import in_batches
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = 4
 NEAR = 48  # characters to each side in which a context word counts
@@ -127,5 +129,5 @@ def scan(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
+    return in_batches(rows, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
                                 "base_sha256 string, spans string, scores string")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellwarden.llm.common import ASCII_LOWER, WordHashes
+from cellwarden.llm.common import ASCII_LOWER, WordHashes, in_batches
 
 MOST_ROWS = 8_000  # labelled rows the model is fitted on, at most
 WORDS = 1 << 15  # hashed word features
@@ -157,12 +157,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Machine:
                 [batch.column("doc_id"), batch.column("quality"), pa.array([i for i, _ in each], pa.list_(pa.int32())),
                  pa.array([v for _, v in each], pa.list_(pa.float32()))], names=["doc_id", "quality", "ids", "xs"])
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, ids array<int>, xs array<float>")
+    got = in_batches(rows, run, "doc_id long, quality int, ids array<int>, xs array<float>")
     # An id repeated in the documents is learnt from once.
-    got = got.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    ids, xs = got.column("ids").to_pylist(), got.column("xs").to_pylist()
-    pairs = [(np.array(i, np.int32), np.array(v, np.float32)) for i, v in zip(ids, xs, strict=True)]
-    return train(pairs, np.array(got.column("quality").to_pylist(), np.float64))
+    got = got.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
+    if got.num_rows == 0:
+        return train([], np.zeros(0))
+    # Views into the Arrow buffers, no Python object per feature.
+    ids, xs = got.column("ids").chunk(0), got.column("xs").chunk(0)
+    ends = ids.offsets.to_numpy()
+    flat_ids, flat_xs = ids.values.to_numpy(), xs.values.to_numpy()
+    pairs = [(flat_ids[a:b], flat_xs[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return train(pairs, got.column("quality").to_numpy().astype(np.float64))
 
 
 def scored(docs: DataFrame, machine: Machine, column: str = "k_score") -> DataFrame:
@@ -177,7 +182,7 @@ def scored(docs: DataFrame, machine: Machine, column: str = "k_score") -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())],
                                              names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return in_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:

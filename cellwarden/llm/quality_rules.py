@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwarden.llm.common import WordHashes, stored, text_key, windows
+from cellwarden.llm.common import WordHashes, in_batches, stored, text_key, windows
 
 REPEAT_WIDTH = 8
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -56,7 +56,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("hash"),
                        F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, hash long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return in_batches(rows, run, "doc_id long, hash long, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def _vote(good: Column, bad: Column) -> Column:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwarden.llm.common import in_batches
+
 LIMIT = 1024
 BATCH_BYTES = 1 << 20
 KEPT = 400_000  # pieces remembered per worker
@@ -99,4 +101,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return in_batches(rows, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
