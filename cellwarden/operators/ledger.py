@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellwarden.sources.files import number_rows
+
 LEDGER_SCHEMA = (
     "id string, event_type string, actor string, dataset_id string, decision_id string, "
     "details map<string,string>, ts timestamp"
@@ -116,15 +118,24 @@ def timeline(ledger: DataFrame, dataset_id: str) -> DataFrame:
     return ledger.where(F.col("dataset_id") == dataset_id).orderBy("ts", "id")
 
 
-def leaf_hash(ts_format: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    """Digest of one event's fields."""
-    null = lambda c: F.coalesce(F.col(c), F.lit(""))
-    details = F.array_join(F.transform(
-        F.array_sort(F.map_entries("details")),
-        lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("")))), ";")
-    return F.sha2(F.concat_ws(
-        "|", "id", "event_type", "actor", null("dataset_id"), null("decision_id"),
-        F.coalesce(details, F.lit("")), F.date_format("ts", ts_format)), 256)
+def numbered_timeline(ledger: DataFrame, dataset_id: str, folder: str) -> DataFrame:
+    """The timeline with each event's ``place``, from 1.
+
+    Tasks sort ranges of (ts, id) and count themselves, so that no task holds
+    a whole dataset. The sorted events are written to ``folder``, shared by
+    all executors.
+    """
+    events = ledger.where(F.col("dataset_id") == dataset_id)
+    ranges = events.repartitionByRange("ts", "id").sortWithinPartitions("ts", "id")
+    return number_rows(ranges, folder).withColumn("place", F.col("row_id") + 1).drop("row_id")
+
+
+def leaf_hash(ts_format: str = "yyyy-MM-dd HH:mm:ss.SSSSSS") -> Column:
+    """Digest of one event's fields as JSON: quoted, with nulls as such and microseconds."""
+    fields = F.struct(
+        "id", "event_type", "actor", "dataset_id", "decision_id",
+        F.array_sort(F.map_entries("details")).alias("details"), F.date_format("ts", ts_format).alias("ts"))
+    return F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256)
 
 
 # Most events of a block, and digests joined into one at the levels above.

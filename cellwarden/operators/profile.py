@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellwarden import constants as C
 from cellwarden.functions import text as X
 from cellwarden.operators.cells import is_numeric, is_string, observed_type, text_of, unpivot
-from cellwarden.operators.relate import shape_counts
+from cellwarden.operators.relate import shape_counts, with_shapes
 from cellwarden.operators.stats import distinct_counts, exact_quantiles, wide_aggregate
 
 
@@ -100,19 +100,20 @@ def string_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
 def pattern_distribution(df: DataFrame, columns: list[str], top: int = 10) -> DataFrame:
     """The most frequent shapes per string column with their share.
 
-    Counts first; the rank then prunes to ``top`` rows per column in every
-    task before the shuffle. Long shapes appear as their digest.
+    Counts first, long shapes by their digest; the rank then prunes to
+    ``top`` rows per column in every task before the shuffle, and the shapes
+    of the digests left are looked up.
     """
     counts = shape_counts(df, columns)
     totals = counts.groupBy("column").agg(F.sum("n_shape").alias("n"))
     rank = F.row_number().over(
         Window.partitionBy("column").orderBy(F.col("n_shape").desc(), "shape_key"))
-    return (
+    first = (
         counts.withColumn("rank", rank).where(F.col("rank") <= top)
-        .join(F.broadcast(totals), "column")
-        .select("column", "rank", F.col("shape_key").alias("shape"),
-                F.round(F.col("n_shape") / F.col("n"), 4).alias("share"))
+        .join(F.broadcast(totals), "column")  # one row per column
+        .select("column", "rank", "shape_key", F.round(F.col("n_shape") / F.col("n"), 4).alias("share"))
     )
+    return with_shapes(first, df, columns).select("column", "rank", "shape", "share")
 
 
 def missing_and_unique(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -138,16 +139,23 @@ def missing_and_unique(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def examples(df: DataFrame, columns: list[str], size: int = 5) -> DataFrame:
-    """A repeatable choice of non-null example values per column."""
+    """A repeatable choice of non-null example values per column.
+
+    Cells are ranked without their values, by the digest of the row id and
+    pruned in every task; the values of the chosen ones are fetched after.
+    """
     types = _types(df)
-    cells = unpivot(df, columns, lambda c: text_of(c, types[c]), keep=["row_id"]).where("value is not null")
+    filled = unpivot(df, columns, lambda c: F.col(c).isNotNull(), keep=["row_id"]).where("value")
     rank = F.row_number().over(
-        Window.partitionBy("column").orderBy(F.xxhash64("row_id"), "row_id"))
-    return (
-        cells.withColumn("rank", rank).where(F.col("rank") <= size)
-        .groupBy("column").agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda e: e["value"]).alias("examples"))
-    )
+        Window.partitionBy("column").orderBy(F.md5(F.col("row_id").cast("string")), "row_id"))
+    chosen = filled.select("column", "row_id").withColumn("rank", rank).where(F.col("rank") <= size)
+    value = F.lit(None).cast("string")
+    for c in columns:
+        value = F.when(F.col("column") == c, text_of(c, types[c])).otherwise(value)
+    # Broadcast: ``size`` rows per column.
+    rows = df.select("row_id", *columns).join(F.broadcast(chosen), "row_id").select("column", "rank", value.alias("value"))
+    return rows.groupBy("column").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda e: e["value"]).alias("examples"))
 
 
 def date_likelihood() -> Column:

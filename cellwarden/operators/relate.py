@@ -42,6 +42,20 @@ def shape_counts(df: DataFrame, names: list[str]) -> DataFrame:
         F.count("*").alias("n_shape"))
 
 
+def with_shapes(keys: DataFrame, df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, shape_key, ...) with ``shape``: the key itself, or the long shape it is the digest of.
+
+    Only cells with a long shape and a wanted key are looked up.
+    """
+    long = unpivot_shapes(df, names).where(F.length("shape") > X.LONG_VALUE).select(
+        "column", X.value_key("shape").alias("shape_key"), F.col("shape").alias("_long"))
+    wanted = keys.where(F.length("shape_key") > X.LONG_VALUE).select("column", "shape_key")
+    found_long = long.join(wanted, ["column", "shape_key"], "left_semi").groupBy("column", "shape_key").agg(
+        F.any_value("_long").alias("_long"))
+    return keys.join(found_long, ["column", "shape_key"], "left").withColumn(
+        "shape", F.coalesce("_long", "shape_key")).drop("_long")
+
+
 def rare_patterns(df: DataFrame, stats: TableStats, names: list[str] | None = None,
                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
     """Cells whose shape covers less than 5 % of their column.

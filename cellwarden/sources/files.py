@@ -135,13 +135,20 @@ def load_metadata(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
     })
 
 
-def number_rows(df: DataFrame) -> DataFrame:
+def number_rows(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Add a dense 0-based ``row_id`` in file order, for tables without a key.
 
     Each partition counts itself; the offsets are one small row per
     partition. Do this once at ingest and keep the result as Parquet.
+
+    Rows are counted in one pass and numbered in another, and both must split
+    them alike. Files read as they are do; anything else, such as shuffled
+    rows, needs a shared ``folder`` to which the marked rows are written first.
     """
     marked = df.withColumn("_mono", F.monotonically_increasing_id())
+    if folder is not None:
+        marked.write.parquet(folder)
+        marked = df.sparkSession.read.schema(marked.schema).parquet(folder)
     part, place = F.shiftright("_mono", 33), F.col("_mono").bitwiseAND((1 << 33) - 1)
     sizes = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
     before = F.coalesce(

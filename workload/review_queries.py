@@ -249,6 +249,31 @@ def au1(spark, d):
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("au1_repair_events", O.decided("dq_orders") + """
+SELECT 'AUTO_REPAIR' AS event_type, 'system_autonomy_gate' AS actor, CAST(dec.row_id AS VARCHAR) AS row_id, dec.col, cells.val AS old_value, new_value
+FROM dec JOIN cells ON cells.row_id = dec.row_id AND cells.col = dec.col
+WHERE decision = 'AUTO' AND coalesce(new_value, '') <> '' AND cells.val IS DISTINCT FROM new_value""")
+def au1b(spark, d):
+    a, path = analysis(spark, d, "dq_orders"), scratch(spark, "ledger")
+    changes = RE.change_set(a.table, RE.auto_edits(a.decisions), a.columns)
+    L.append_events(L.repair_events(changes, "dq_orders", _ts()), path)
+    at = lambda key: F.try_element_at("details", F.lit(key))
+    return spark.read.parquet(path).select(
+        "event_type", "actor", at("row_id").alias("row_id"), at("column").alias("col"),
+        at("old_value").alias("old_value"), at("new_value").alias("new_value"))
+
+
+@query("au1_review_events", O.decided("dq_customer") + f""", {_REV}
+SELECT 'REVIEW' AS event_type, 'user:reviewer' AS actor, row_id, col, action, '' AS comment, r AS submission FROM val""")
+def au1c(spark, d):
+    decisions, path = analysis(spark, d, "dq_customer").decisions, scratch(spark, "ledger")
+    L.append_events(L.review_events(RV.submit(_submissions(decisions))), path)
+    at = lambda key: F.try_element_at("details", F.lit(key))
+    return spark.read.parquet(path).join(decisions.select("decision_id", "row_id", "column"), "decision_id").select(
+        "event_type", "actor", "row_id", F.col("column").alias("col"), at("action").alias("action"),
+        at("comment").alias("comment"), (F.unix_seconds("ts") - 1704067200).alias("submission"))
+
+
 @query("au2_ledger_query", f"WITH {_LEDGER} SELECT id, event_type, actor FROM led WHERE dataset_id = 'ds3' AND event_type = 'CLICK' ORDER BY ts DESC, id LIMIT 100 OFFSET 20")
 def au2(spark, d):
     return L.query_events(_event_ledger(spark, d), "ds3", "CLICK", limit=100, offset=20).select("id", "event_type", "actor")
@@ -256,10 +281,7 @@ def au2(spark, d):
 
 @query("au3_timeline", f"WITH {_LEDGER} SELECT id, row_number() OVER (ORDER BY ts, id) AS place FROM led WHERE dataset_id = 'ds7'")
 def au3(spark, d):
-    from pyspark.sql import Window
-
-    events = L.timeline(_event_ledger(spark, d), "ds7")
-    return events.select("id", F.row_number().over(Window.partitionBy("dataset_id").orderBy("ts", "id")).alias("place"))
+    return L.numbered_timeline(_event_ledger(spark, d), "ds7", scratch(spark, "timeline")).select("id", "place")
 
 
 @query("au3_count", f"WITH {_LEDGER} SELECT count(*) AS events FROM led WHERE dataset_id = 'ds1'")
@@ -284,10 +306,11 @@ def au4(spark, d):
         F.try_element_at(at, F.lit("column")).alias("col"), F.try_element_at(at, F.lit("total_decisions")).alias("total"))
 
 
-@query("au5_hash_batches", f"""WITH {_LEDGER}, l AS (SELECT sha256(id) AS hid, led.*, 'k=' || coalesce(json_extract_string(props, '$.k'), '') AS det
+@query("au5_hash_batches", f"""WITH {_LEDGER}, l AS (SELECT sha256(id) AS hid, led.*, json_extract_string(props, '$.k') AS k
   FROM led JOIN events ON led.id = CAST(event_id AS VARCHAR)),
 leaf AS (SELECT CAST(('0x' || substr(hid, 1, 8)) AS BIGINT) % (SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) FROM events) AS block,
-  sha256(concat_ws('|', hid, event_type, actor, dataset_id, '', det, strftime(ts, '%Y-%m-%d %H:%M:%S'))) AS leaf FROM l),
+  sha256(CAST(json_object('id', hid, 'event_type', event_type, 'actor', actor, 'dataset_id', dataset_id, 'decision_id', NULL,
+    'details', json_array(json_object('key', 'k', 'value', k)), 'ts', strftime(ts, '%Y-%m-%d %H:%M:%S.%f')) AS VARCHAR)) AS leaf FROM l),
 roots AS (SELECT block, count(*) AS events, sha256(string_agg(leaf, '' ORDER BY leaf)) AS block_root FROM leaf GROUP BY 1)
 SELECT sum(events) AS events, sha256('genesis' || string_agg(block_root, '' ORDER BY block)) AS batch_root FROM roots""")
 def au5(spark, d):

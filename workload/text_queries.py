@@ -10,7 +10,7 @@ from cellwarden.functions import text as X
 from cellwarden.functions.similarity import indel_ratio
 from cellwarden.operators import profile as P
 from cellwarden.operators.cells import data_columns, observed_type
-from cellwarden.operators.relate import shape_counts, similar_lengths
+from cellwarden.operators.relate import shape_counts, similar_lengths, with_shapes
 from cellwarden.plans.views import dirty_view
 from cellwarden.sources import files
 from workload import oracle as O
@@ -268,7 +268,9 @@ def pr8(spark, d):
     return P.missing_and_unique(df, names).select(F.col("column").alias("col"), "cardinality", "unique_rate")
 
 
-@query("pr9_examples")
+@query("pr9_examples", O.cells_cte("dq_orders") + """, r AS (
+  SELECT col, val, row_number() OVER (PARTITION BY col ORDER BY md5(CAST(row_id AS VARCHAR)), row_id) AS rk FROM cells WHERE val IS NOT NULL)
+SELECT col, string_agg(val, '|' ORDER BY rk) AS examples FROM r WHERE rk <= 5 GROUP BY col""")
 def pr9(spark, d):
     df, names = _view(spark, d)
     return P.examples(df, names).select(F.col("column").alias("col"), F.array_join("examples", "|").alias("examples"))
@@ -323,6 +325,19 @@ def pr12(spark, d):
 
 
 @query("pr6b_shapes_of_pages", f"""WITH c AS (SELECT {O.shape('url')} AS sh, count(*) AS n FROM pages GROUP BY 1)
-SELECT CASE WHEN length(sh) <= 64 THEN sh ELSE 'sha256:' || sha256(sh) END AS shape_key, n AS n_shape FROM c""")
+SELECT sh AS shape, n AS n_shape FROM c WHERE sh IS NOT NULL""")
 def pr6b(spark, d):
-    return shape_counts(table(spark, d, "pages"), ["url"]).select("shape_key", "n_shape")
+    pages = table(spark, d, "pages").withColumnRenamed("page_id", "row_id")
+    return with_shapes(shape_counts(pages, ["url"]), pages, ["url"]).select("shape", "n_shape")
+
+
+@query("pr6c_shapes_of_documents", f"""WITH c AS (SELECT col, {O.shape('val')} AS sh, count(*) AS n FROM (
+  SELECT 'text' AS col, text AS val FROM documents UNION ALL SELECT 'source', source FROM documents) WHERE val IS NOT NULL GROUP BY 1, 2)
+SELECT col, md5(sh) AS shape_md5, length(sh) AS shape_length, n AS n_shape FROM c""")
+def pr6c(spark, d):
+    """Shapes of whole texts, mostly far above the length that is grouped by digest."""
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "row_id")
+    names = ["text", "source"]
+    return with_shapes(shape_counts(docs, names), docs, names).select(
+        F.col("column").alias("col"), F.md5(F.col("shape").cast("binary")).alias("shape_md5"),
+        F.length("shape").alias("shape_length"), "n_shape")
