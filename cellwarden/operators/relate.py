@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from cellwarden import constants as C
 from cellwarden.functions import text as X
 from cellwarden.functions.similarity import WORD_BITS, indel_ratio, indel_ratio_long
-from cellwarden.operators.cells import identity_of, is_string, text_of, unpivot
+from cellwarden.operators.cells import fixed_width, identity_of, is_string, text_of, unpivot
 from cellwarden.operators.evidence import found
 from cellwarden.operators.skew import ROWS_PER_TASK, join_groups
 from cellwarden.operators.stats import TableStats
@@ -323,38 +323,38 @@ def fd_pairs(stats: TableStats) -> list[tuple[str, str]]:
 def _pair_counts(df: DataFrame, stats: TableStats, pairs: list, share: int | None) -> DataFrame:
     """Per (pair, x value): rows, clean rows and rows of the top y value.
 
-    A row's keys are computed once and paired afterwards. They are 64-bit
-    hashes: exact for fixed-width columns; for text two values would have to
-    collide within one x group to change a count.
+    A row's keys are computed once; each x takes along the dependents it is
+    still paired with, so that rows are made for those pairs only. Keys are
+    64-bit hashes, exact for fixed-width columns; text gets a second one.
     """
-    xs = list(dict.fromkeys(x for x, _ in pairs))
+    partners: dict[str, list[tuple[int, str]]] = {}
+    for i, (x, y) in enumerate(pairs):
+        partners.setdefault(x, []).append((i, y))
     ys = list(dict.fromkeys(y for _, y in pairs))
-    ids = [xs.index(x) * len(ys) + ys.index(y) for x, y in pairs]
 
-    def x_entry(i, x):
+    def second(c):
+        return F.xxhash64(F.lit("second"), c) if not fixed_width(stats.types[c]) else F.lit(0).cast("bigint")
+
+    def x_entry(x):
         key = F.xxhash64(x)
         keep = F.col(x).isNotNull()
         if share is not None:
             spread = key if stats.columns[x].n_distinct >= FD_MANY_GROUPS else F.xxhash64("row_id")
             keep = keep & (F.pmod(spread, F.lit(share)) == 0)
-        return F.struct(F.lit(i).alias("xi"), F.when(keep, key).alias("x_key"))
-
-    def y_entry(i, y):
-        key = F.when(_fd_clean(y, stats), F.xxhash64(y))
-        return F.struct(F.lit(i).alias("yi"), key.alias("y_key"))
+        of_x = [F.struct(F.lit(i).alias("pair"), F.col(f"y{ys.index(y)}").alias("y_key")) for i, y in partners[x]]
+        return F.struct(F.when(keep, F.struct(key.alias("a"), second(x).alias("b"))).alias("x_key"), F.array(*of_x).alias("of_x"))
 
+    hashed = df.select("row_id", *partners, *[
+        F.when(_fd_clean(y, stats), F.struct(F.xxhash64(y).alias("a"), second(y).alias("b"))).alias(f"y{i}")
+        for i, y in enumerate(ys)])
     rows = (
-        df.select(F.array(*[x_entry(i, x) for i, x in enumerate(xs)]).alias("xs"),
-                  F.array(*[y_entry(i, y) for i, y in enumerate(ys)]).alias("ys"))
-        .select(F.inline("xs"), "ys").where(F.col("x_key").isNotNull())
-        .select("xi", "x_key", F.inline("ys"))
-        .withColumn("pair", F.col("xi") * len(ys) + F.col("yi"))
-        .where(F.col("pair").isin(ids))
+        hashed.select(F.inline(F.array(*[x_entry(x) for x in partners]))).where(F.col("x_key").isNotNull())
+        .select("x_key", F.inline("of_x"))
     )
     counts = rows.groupBy("pair", "x_key", "y_key").agg(F.count("*").alias("n"))
     clean_n = F.when(F.col("y_key").isNotNull(), F.col("n"))
     names = df.sparkSession.createDataFrame(
-        [(i, x, y) for i, (x, y) in zip(ids, pairs)], "pair int, x string, y string")
+        [(i, x, y) for i, (x, y) in enumerate(pairs)], "pair int, x string, y string")
     groups = counts.groupBy("pair", "x_key").agg(
         F.sum("n").alias("size"), F.sum(clean_n).alias("kept"), F.max(clean_n).alias("mode_n"),
     ).where(F.col("size") >= C.FD_MIN_GROUP)

@@ -15,7 +15,8 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-SOME = ("pr6b_shapes_of_pages", "pr6c_shapes_of_documents", "pr6_pattern_distribution", "pr9_examples", "au1_repair_events", "au1_review_events", "au3_timeline",
+SOME = ("io1_quoted_csv", "io5_load_warnings", "sc7_indel_similarity", "det9_fd_mining", "det9_fd_mining_lineitem",
+        "pr6b_shapes_of_pages", "pr6c_shapes_of_documents", "pr6_pattern_distribution", "pr9_examples", "au1_repair_events", "au1_review_events", "au3_timeline",
         "io2_parquet_scan", "sc1_shape", "sc9_iso_date", "pr4_numeric_stats", "pr8_cardinality",
         "det4_pattern_rarity", "det7_near_duplicate", "det9_fd_violation", "fu5_table_rows_cautious",
         "de2_gate", "de3_decisions_customer", "de3_decisions_orders", "re1_auto_repair", "re4_edit_commands",

@@ -16,6 +16,7 @@ from cellwarden.operators.detect import row_evidence
 from cellwarden.operators.profile import table_semantics
 from cellwarden.operators.stats import fit
 from cellwarden.plans.analyze import analyze
+from cellwarden.sources.files import number_rows
 from workload import oracle as O
 from workload.context import all_decisions, analysis, table
 from workload.registry import query
@@ -118,6 +119,18 @@ def det9_mine(spark, d):
     return R.mine_fds(a.table, a.stats, first_share=None).select("x", "y", F.round("confidence", 4).alias("confidence"))
 
 
+@query("det9_fd_mining_lineitem", f"WITH lines AS MATERIALIZED (SELECT *, row_number() OVER () AS row_id FROM lineitem), "
+       f"cells AS ({O.cells('lineitem', source='lines')}), " + O.STATS + ", " + O.fd_ctes("lineitem").lstrip() +
+       " SELECT x, y, round(conf, 4) AS confidence FROM fds")
+def det9_mine_lines(spark, d):
+    """Large enough for the first step on a part of the rows."""
+    df = number_rows(table(spark, d, "lineitem"))
+    found = R.mine_fds(df, fit(df, list(O.COLUMNS["lineitem"])))
+    if found is None:
+        return spark.createDataFrame([], "x string, y string, confidence double")
+    return found.select("x", "y", F.round("confidence", 4).alias("confidence"))
+
+
 @query("det9_fd_violation", O.cells_cte("dq_customer") + ", " + O.STATS + ", " + O.fd_ctes("dq_customer").lstrip() +
        " SELECT row_id, col, round(score, 4) AS score, obs AS observed_value, exp AS expected_value, rule AS fd_rule FROM e9")
 def det9(spark, d):

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from cellwarden import constants as C
 from cellwarden.functions import dates as DT
 from cellwarden.functions import text as X
-from cellwarden.functions.similarity import indel_ratio
 from cellwarden.operators import profile as P
 from cellwarden.operators.cells import data_columns, observed_type
-from cellwarden.operators.relate import shape_counts, similar_lengths, with_shapes
+from cellwarden.operators.relate import blocked_pairs, shape_counts, similar_lengths, with_shapes, with_similarity
 from cellwarden.plans.views import dirty_view
 from cellwarden.sources import files
 from workload import oracle as O
@@ -27,6 +26,36 @@ def io1(spark, d):
     return files.read_csv(spark, path).select(*PART_COLUMNS.split(", "))
 
 
+def _quoted_csv(spark, d):
+    """The documents as CSV files written by string functions: quotes, line breaks, a repeated header name."""
+    docs, path = table(spark, d, "documents"), scratch(spark, "quoted") + "/docs.csv"
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), F.coalesce(quoted("text"), F.lit("")),
+                       F.coalesce(quoted("lang"), F.lit("")))
+    for i in range(4):  # one header for each file
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == i).select(F.lit(1).alias("k"), line.alias("value"))
+        head = spark.range(1).select(F.lit(0).alias("k"), F.lit("doc_id,text,text").alias("value"))
+        head.union(part).coalesce(1).sortWithinPartitions("k").select("value").write.mode("append").text(path)
+    return path
+
+
+@query("io1_quoted_csv", """SELECT doc_id, md5(text) AS text_md5, length(text) AS n_chars, lang FROM documents""")
+def io1b(spark, d):
+    df = files.read_csv(spark, _quoted_csv(spark, d))
+    return df.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"),
+                     F.length("text").cast("bigint").alias("n_chars"), F.col("text_1").alias("lang"))
+
+
+@query("io5_load_warnings", """SELECT CASE WHEN count(*) > 0 THEN 'Duplicate column names detected' END AS warning,
+ count(*) AS n_rows FROM documents HAVING count(*) > 0
+UNION ALL SELECT 'Dataset is empty (0 rows)', count(*) FROM documents HAVING count(*) = 0""")
+def io5b(spark, d):
+    path = _quoted_csv(spark, d)
+    df = files.read_csv(spark, path)
+    found = files.warnings(df, files.header_names(spark, path, {"sep": ",", "escape": '"', "multiLine": True}))
+    return df.agg(F.count("*").alias("n_rows")).select(F.explode(F.array(*[F.lit(w) for w in found])).alias("warning"), "n_rows")
+
+
 @query("io2_parquet_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45")
 def io2(spark, d):
     return files.read_parquet(spark, f"{d}/lineitem.parquet").where("l_quantity > 45").select(
@@ -112,21 +141,26 @@ def sc6(spark, d):
     ).agg(F.count("*").alias("n"))
 
 
-@query("sc7_indel_similarity", """WITH RECURSIVE names AS (SELECT p_name AS v, count(*) AS n FROM part GROUP BY p_name),
+@query("sc7_indel_similarity", """WITH RECURSIVE names AS (SELECT DISTINCT lower(p_name) AS v FROM part WHERE p_name IS NOT NULL),
 p AS (SELECT x.v AS a, y.v AS b FROM names x JOIN names y ON x.v < y.v
       AND 2.0 * least(length(x.v), length(y.v)) / (length(x.v) + length(y.v)) >= 0.85),
 lcs AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) AS r FROM p
         UNION ALL
         SELECT a, b, i + 1, list_concat([0], list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(
           range(1, j + 1), lambda m: greatest(r[m + 1], r[m] + CASE WHEN b[m] = a[i + 1] THEN 1 ELSE 0 END)))))
-        FROM lcs WHERE i < length(a))
-SELECT a, b, round(2.0 * r[length(b) + 1] / (length(a) + length(b)), 6) AS ratio FROM lcs WHERE i = length(a)""")
+        FROM lcs WHERE i < length(a)),
+sim AS (SELECT a, b, 2.0 * r[length(b) + 1] / (length(a) + length(b)) AS ratio FROM lcs WHERE i = length(a))
+SELECT a, b, round(ratio, 6) AS ratio FROM sim WHERE ratio >= 0.85""")
 def sc7(spark, d):
-    names = table(spark, d, "part").select(F.col("p_name").alias("v")).distinct()
-    left = names.select(F.col("v").alias("a"), F.explode(similar_lengths(F.col("v"))).alias("len"))
-    right = names.select(F.col("v").alias("b"), F.length("v").cast("bigint").alias("len"))
-    return left.join(right, "len").where("a < b").select(
-        "a", "b", F.round(indel_ratio("a", "b"), 6).alias("ratio"))
+    """Pairs of similar names; they meet on a piece of text that the threshold makes them share."""
+    names = table(spark, d, "part").select(F.lower("p_name").alias("v")).where("v IS NOT NULL").distinct()
+    one = names.select(F.lit("p_name").alias("column"), F.col("v").alias("value"), F.xxhash64("v").alias("row_id"),
+                       F.explode(similar_lengths(F.col("v"))).alias("len")).withColumn("len", F.col("len").cast("int"))
+    two = names.select(F.lit("p_name").alias("column"), F.col("v").alias("canonical"), F.length("v").alias("len"))
+    pairs = blocked_pairs(one, two).where("value < canonical").select(F.col("value").alias("a"), F.col("canonical").alias("b"))
+    longest = names.agg(F.max(F.length("v"))).first()[0] or 0
+    return with_similarity(pairs, "a", "b", longest).where(F.col("ratio") >= C.SIMILARITY_MIN).select(
+        "a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 _FIN = " OR ".join(f"contains(lower(event_type), {O.q(k)})" for k in C.FINANCIAL_KEYWORDS)
