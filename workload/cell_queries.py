@@ -119,12 +119,16 @@ def det9_mine(spark, d):
     return R.mine_fds(a.table, a.stats, first_share=None).select("x", "y", F.round("confidence", 4).alias("confidence"))
 
 
-@query("det9_fd_mining_lineitem", f"WITH lines AS MATERIALIZED (SELECT *, row_number() OVER () AS row_id FROM lineitem), "
+# A text column that depends on the quantity, except in some rows.
+_BAND_SQL = "CASE WHEN l_partkey % 50 = 0 THEN concat('part ', l_suppkey) ELSE concat('band ', CAST(floor(l_quantity / 10) AS BIGINT)) END"
+
+
+@query("det9_fd_mining_lineitem", f"WITH lines AS MATERIALIZED (SELECT *, row_number() OVER () AS row_id, {_BAND_SQL} AS band FROM lineitem), "
        f"cells AS ({O.cells('lineitem', source='lines')}), " + O.STATS + ", " + O.fd_ctes("lineitem").lstrip() +
        " SELECT x, y, round(conf, 4) AS confidence FROM fds")
 def det9_mine_lines(spark, d):
     """Large enough for the first step on a part of the rows."""
-    df = number_rows(table(spark, d, "lineitem"))
+    df = number_rows(table(spark, d, "lineitem")).withColumn("band", F.expr(_BAND_SQL))
     found = R.mine_fds(df, fit(df, list(O.COLUMNS["lineitem"])))
     if found is None:
         return spark.createDataFrame([], "x string, y string, confidence double")

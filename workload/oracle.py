@@ -13,7 +13,7 @@ COLUMNS = {
                     "region_name": "s", "segment": "s", "contact": "s", "balance": "f"},
     "lineitem": {"l_orderkey": "i", "l_partkey": "i", "l_suppkey": "i", "l_linenumber": "i", "l_quantity": "f",
                  "l_extendedprice": "f", "l_discount": "f", "l_tax": "f", "l_returnflag": "s", "l_linestatus": "s",
-                 "l_shipdate": "s"},
+                 "l_shipdate": "s", "band": "s"},
 }
 
 SPACES = " || ".join(f"chr({ord(c)})" for c in C.WHITESPACE)
