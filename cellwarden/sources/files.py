@@ -125,9 +125,12 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
 def load_metadata(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
     """One row about a loaded table: format, files, size, digest and counts."""
     counts = df.agg(F.count(F.lit(1)).alias("row_count"))
-    files = fingerprints(spark, path).agg(
-        F.count("*").alias("files"), F.sum("file_size_bytes").alias("file_size_bytes"),
-        F.sha2(F.concat_ws("", F.array_sort(F.collect_list("sha256"))), 256).alias("sha256"))
+    joined = lambda c: F.sha2(F.concat_ws("", F.array_sort(F.collect_list(c))), 256)
+    # Digests of digests in two levels: 4096 groups, so that no task joins all files' digests.
+    groups = fingerprints(spark, path).groupBy(F.substring("sha256", 1, 3).alias("start")).agg(
+        F.count("*").alias("n"), F.sum("file_size_bytes").alias("size"), joined("sha256").alias("root"))
+    files = groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.sum("size").alias("file_size_bytes"), joined("root").alias("sha256"))
     return files.withColumns({
         "file_format": F.lit(suffix_of(path).lstrip(".")),
         "column_count": F.lit(len(df.columns)),
