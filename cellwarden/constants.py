@@ -116,11 +116,6 @@ DETECTORS = (
 )
 
 # --- Fixed values: enumerations --------------------------------------------
-SOURCE_TYPES = ("deterministic", "statistical", "relational", "semantic", "human")
-CLAIMS = ("possible_error", "likely_clean", "uncertain")
-DECISIONS = ("AUTO", "ESCALATE", "BLOCK")
-UNCERTAINTY_TYPES = ("factual", "policy", "authority")
-ACTION_IMPACTS = ("LOW", "MEDIUM", "HIGH")
 REVIEW_ACTIONS = ("APPROVE", "EDIT", "REJECT")
 HIGH_IMPACT_ACTIONS = ("delete_row", "delete_column", "modify_schema", "verify_authority")
 MEDIUM_IMPACT_ACTIONS = ("change_value", "merge_records")

@@ -182,6 +182,11 @@ def brackets_from(points: list[float], n: int, probabilities) -> dict:
 
 def quantile_brackets(df: DataFrame, columns: list[str], probabilities) -> dict:
     """(column, p) -> bracket of every column that has values."""
+    return brackets_and_counts(df, columns, probabilities)[0]
+
+
+def brackets_and_counts(df: DataFrame, columns: list[str], probabilities) -> tuple[dict, dict]:
+    """The brackets, and the number of values per column."""
     row = df.agg(*[e for i, c in enumerate(columns) for e in (
         sketch(c, probabilities).alias(f"q{i}"), F.count(c).alias(f"n{i}"))]).first()
     brackets = {
@@ -189,7 +194,8 @@ def quantile_brackets(df: DataFrame, columns: list[str], probabilities) -> dict:
         for i, c in enumerate(columns) if row[f"q{i}"] is not None
         for p, bracket in brackets_from(row[f"q{i}"], row[f"n{i}"], probabilities).items()
     }
-    return narrow_brackets(df, brackets, {c: row[f"n{i}"] for i, c in enumerate(columns)})
+    n_values = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    return narrow_brackets(df, brackets, n_values), n_values
 
 
 def narrow_brackets(df: DataFrame, brackets: dict, n_values: dict) -> dict:
@@ -223,15 +229,16 @@ def narrow_brackets(df: DataFrame, brackets: dict, n_values: dict) -> dict:
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities,
-                    brackets: dict | None = None) -> DataFrame:
+                    brackets: dict | None = None, n_values: dict | None = None) -> DataFrame:
     """Exact linear quantiles, one row per (column, p), at any table size.
 
     A sketch first brackets each quantile. The second pass counts the rows
     below the bracket and the values inside it, a tiny share of the rows, so
-    no task ever holds a whole column as ``percentile`` would.
+    no task ever holds a whole column as ``percentile`` would. ``brackets``
+    and ``n_values`` (per column) come together, from an earlier pass.
     """
     if brackets is None:
-        brackets = quantile_brackets(df, columns, probabilities)
+        brackets, n_values = brackets_and_counts(df, columns, probabilities)
     schema = "column string, p double, value double"
     if not brackets:
         return df.sparkSession.createDataFrame([], schema)
@@ -250,11 +257,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities,
         df.select(F.inline(F.array_compact(F.array(*position))))
         .groupBy("id", "value").agg(F.count("*").alias("n"))
     )
-    totals = wide_aggregate(df, list(dict.fromkeys(c for c, _ in ids)),
-                            lambda c: {"n_values": F.count(c)})
     names = df.sparkSession.createDataFrame(
-        [(i, c, float(p)) for (c, p), i in ids.items()], "id int, column string, p double"
-    )
+        [(i, c, float(p), n_values[c]) for (c, p), i in ids.items()],
+        "id int, column string, p double, n_values bigint")
     # At most the bracket's distinct values meet in one window.
     running = F.sum("n").over(
         Window.partitionBy("id").orderBy(F.col("value").asc_nulls_first())
@@ -263,7 +268,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities,
     at = F.col("p") * (F.col("n_values") - 1)
     ranked = (
         counts.withColumn("upto", running)
-        .join(F.broadcast(names), "id").join(F.broadcast(totals), "column")
+        .join(F.broadcast(names), "id")
         .withColumn("at", at)
     )
     below = F.min(F.when(F.col("upto") > F.floor("at"), F.col("value")))
@@ -312,28 +317,37 @@ def common_shapes(groups: DataFrame) -> DataFrame:
     return top.groupBy("column").agg(F.collect_list(F.struct("shape_key", "n")).alias("shapes"))
 
 
-def fit(df: DataFrame, columns: list[str]) -> TableStats:
+def fit(df: DataFrame, columns: list[str], check_row_id: bool = False) -> TableStats:
     """Statistics of ``columns``; ``df`` carries ``row_id``.
 
     Two jobs: counts, moments, sketches and value groups first, then the
-    exact quartiles inside the sketched brackets.
+    exact quartiles inside the sketched brackets. ``check_row_id`` groups the
+    row ids in the first job too and raises unless each names one row: two
+    rows under one id would be repaired as one.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     fixed = [c for c in columns if fixed_width(types[c])]
     texts = [c for c in columns if c not in fixed]
     groups = [e.alias(k) for k, e in group_measures().items()]
     parts = [wide_aggregate(df, columns, _count_measures(types))]
-    if fixed:
-        parts.append(fixed_groups(df, fixed).groupBy("column").agg(*groups))
+    ids = ["row_id"] if check_row_id else []
+    if fixed or ids:
+        parts.append(fixed_groups(df, fixed + ids).groupBy("column").agg(*groups, F.sum("n").alias("n_cells")))
     if texts:
         extra = [e.alias(k) for k, e in _text_measures().items()]
         values = text_groups(df, texts)
         parts.append(values.groupBy("column").agg(*groups, *extra))
         parts.append(common_shapes(values))
-    found: dict[str, dict] = {c: {} for c in columns}
+    found: dict[str, dict] = {c: {} for c in [*columns, *ids]}
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).collect()
     for r in rows:
         found[r["column"]].update({k: v for k, v in r.asDict().items() if v is not None})
+    if check_row_id:
+        of_ids = found["row_id"]
+        n_rows = max((found[c].get("n_rows", 0) for c in columns), default=0)
+        if of_ids.get("top_count", 0) > 1 or of_ids.get("n_cells", 0) < n_rows:
+            raise ValueError("the key is not unique, numeric and filled in every row; "
+                             "use sources.files.number_rows to number the rows")
     out = {}
     for i, c in enumerate(columns):
         f = found[c]
@@ -358,7 +372,8 @@ def fit(df: DataFrame, columns: list[str]) -> TableStats:
     }
     brackets = narrow_brackets(df, brackets, {c: s.n_values for c, s in out.items()})
     if brackets:
-        for q in exact_quantiles(df, columns, QUARTILES, brackets).collect():
+        n_values = {c: s.n_values for c, s in out.items()}
+        for q in exact_quantiles(df, columns, QUARTILES, brackets, n_values).collect():
             setattr(out[q["column"]], "q1" if q["p"] == QUARTILES[0] else "q3", q["value"])
     n = max((s.n_rows for s in out.values()), default=0)
     return TableStats(n_rows=n, types=types, columns=out)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cellwarden import constants as C
 from cellwarden.operators import decide as D
@@ -71,22 +70,12 @@ def find_evidence(df: DataFrame, stats: TableStats, fds: list, parity: bool = Fa
     return R.union_all(parts)
 
 
-def check_key(df: DataFrame) -> None:
-    """Raise unless ``row_id`` names each row: two rows under one id would be repaired as one."""
-    ids = df.select("row_id")
-    bad = ids.where("row_id IS NULL").limit(1).union(
-        ids.groupBy("row_id").agg(F.count("*").alias("n")).where("n > 1").select("row_id").limit(1)).first()
-    if bad is not None:
-        raise ValueError(f"the key is not unique, numeric and filled in every row (for example {bad[0]}); "
-                         "use sources.files.number_rows to number the rows")
-
-
 def analyze(df: DataFrame, key: str, dataset_id: str = "dataset", columns=None,
             parity: bool = False, near_duplicate_distinct: int | None = C.NEAR_DUP_MAX_DISTINCT) -> Analysis:
     """Profile, detect, fuse and decide.
 
     ``key`` is a unique numeric column used as the row id, checked over all
-    rows: repeated, null or text keys are refused. Two small jobs run
+    rows with the statistics: repeated, null or text keys are refused. Two small jobs run
     at once: column statistics, and the mined dependencies (at most one per
     pair of columns). Everything after that is lazy.
 
@@ -97,9 +86,8 @@ def analyze(df: DataFrame, key: str, dataset_id: str = "dataset", columns=None,
     None searches every string column.
     """
     table = spread(with_row_id(df, key))
-    check_key(table)
     names = data_columns(table, key, columns)
-    stats = fit(table, names)
+    stats = fit(table, names, check_row_id=True)
     mined = R.mine_fds(table, stats)
     fds = [] if mined is None else sorted(
         ((r["x"], r["y"], r["confidence"]) for r in mined.collect()),
