@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 # Largest table, in bytes as measured, that a broadcast() here may send out.
 BROADCAST_BYTES = 64 << 20
 
-# Rows in an Arrow batch.
+# Rows and bytes in an Arrow batch; a single longer text is a batch of its own.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -48,10 +49,13 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows: texts can be long, and a batch lies in memory whole."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """``mapInArrow`` in batches bounded by rows and bytes: texts can be long, and a batch lies in memory whole."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(name).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:  # -1 is no bound, and a unit is not read
+            conf.set(name, str(most))
     return df.mapInArrow(run, schema)
 
 
