@@ -1,11 +1,13 @@
-"""License scans: TF-IDF cosine of lines and paragraphs to templates, and inheritance from ancestor directories.
-
-A unit (a line or a paragraph of a file) and a template are sparse vectors of
-term frequency times inverse document frequency; document frequencies are
-exact counts of files over the whole corpus. A file's licence is the template
-of its best unit, if that is similar enough. A file that is little more than
-its licence declares it for its directory; files without one inherit from
-their nearest ancestor directory that has one, found by joins on paths.
+"""License scans: TF-IDF cosine of lines, paragraphs and whole files to templates, and inheritance from ancestor directories.
+
+A unit (a line, a paragraph or the whole of a file) and a template (a short
+notice or the full text of a licence) are sparse vectors of term frequency
+times inverse document frequency; document frequencies are exact counts of
+files over the whole corpus. A file that as a whole is like a full text has
+that licence, any other that of its best unit, if that is similar enough. A
+file that is little more than its licence, or is named LICENSE or COPYING,
+declares it for its directory; files without one inherit from their nearest
+ancestor directory that has one, found by joins on paths.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from cellwarden.llm.common import in_batches, small, stored
 
 LEAST_COSINE = 0.6
+FULL_COSINE = 0.75  # of a whole file or paragraph to a full text; unrelated legal texts share much of their wording
 FILE_SHARE = 0.5  # of a file's words that its licence unit must hold to speak for the directory
 
 # Short notices by which files state their licence.
@@ -31,14 +35,35 @@ TEMPLATES = {
     "MIT": ("Released under the MIT License.", "This project is licensed under the terms of the MIT license."),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2."),
     "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
     "BSD-3-Clause": ("Use of this source code is governed by a BSD-style license.", "Licensed under the BSD 3-Clause License."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 }
+_OR_LATER = ("This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} License "
+             "as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version.")
+# The longer notices that the GNU licences ask for.
+for _name, _words in {
+    "GPL-2.0": ("program", ";", "General Public", ";", "2"), "GPL-3.0": ("program", ":", "General Public", ",", "3"),
+    "LGPL-2.1": ("library", ";", "Lesser General Public", ";", "2.1"), "LGPL-3.0": ("library", ":", "Lesser General Public", ",", "3"),
+    "AGPL-3.0": ("program", ":", "Affero General Public", ",", "3"),
+}.items():
+    TEMPLATES[_name] = (*TEMPLATES.get(_name, ()), _OR_LATER.format(*_words))
+
+
+def full_texts() -> dict[str, str]:
+    """The whole texts of licences, by name."""
+    out = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in (resources.files("cellwarden.llm") / "license_texts").iterdir()
+           if f.name.endswith(".txt")}
+    # Not at hand: the GPL's text under the other's name, which tells the two apart.
+    out["AGPL-3.0"] = re.sub(r"(?i)GNU General", "GNU Affero General", out["GPL-3.0"])
+    return out
+
+
 _TERM = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
 
 
@@ -46,21 +71,13 @@ def terms(unit: str) -> Counter:
     return Counter(_TERM.findall(unit.lower()))
 
 
-_OF_TEMPLATES = [(name, terms(t)) for name, texts in TEMPLATES.items() for t in texts]
-VOCABULARY = sorted({t for _, c in _OF_TEMPLATES for t in c})
+def terms_held(text: str) -> set[str]:
+    return set(_TERM.findall(text.lower()))
 
 
-def units(text: str | None) -> Iterator[str]:
-    """Every line, and every paragraph of several lines, of a whole text."""
-    run: list[str] = []
-    for line in [*(text or "").split("\n"), ""]:
-        if line.strip():
-            yield line
-            run.append(line)
-        else:
-            if len(run) > 1:
-                yield " ".join(run)
-            run = []
+_OF_TEMPLATES = [(name, terms(t)) for name, texts in TEMPLATES.items() for t in texts]
+_OF_FULL_TEXTS = [(name, terms(t)) for name, t in sorted(full_texts().items())]
+VOCABULARY = sorted({t for _, c in _OF_TEMPLATES + _OF_FULL_TEXTS for t in c})
 
 
 def document_frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
@@ -72,7 +89,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
         for batch in batches:
             for t in batch.column("text"):
                 total[""] += 1
-                total.update(known & set(_TERM.findall((t.as_py() or "").lower())))
+                total.update(known & terms_held(t.as_py() or ""))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
                                          names=["term", "n"])
 
@@ -81,40 +98,87 @@ def document_frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
     return found.pop("", 0), found
 
 
+class Templates:
+    """Templates of one kind under given weights of terms, indexed by term."""
+
+    def __init__(self, templates: list[tuple[str, Counter]], idf: dict[str, float], rarest: float, least: float, damped: bool):
+        self.idf, self.rarest, self.least, self.damped = idf, rarest, least, damped
+        self.names = [name for name, _ in templates]
+        self.postings: dict[str, list[tuple[int, float]]] = {}
+        for i, (_, counts) in enumerate(templates):
+            weights = {t: self.tf(n) * idf[t] for t, n in counts.items()}
+            norm = math.sqrt(sum(w * w for w in weights.values()))
+            for t, w in weights.items():
+                self.postings.setdefault(t, []).append((i, w / norm))
+        self.known = frozenset(self.postings)
+
+    def tf(self, n: int) -> float:
+        return 1 + math.log(n) if self.damped else n
+
+    def best(self, found: Counter) -> tuple[float, str]:
+        """(cosine, name) of the best template; equal cosines go to the later name. (0.0, "") if none reaches ``least``."""
+        shared = self.known.intersection(found)
+        tf, idf, rarest = self.tf, self.idf, self.rarest
+        dots = [0.0] * len(self.names)
+        for t in shared:
+            w = tf(found[t]) * idf[t]
+            for i, v in self.postings[t]:
+                dots[i] += w * v
+        norm = math.sqrt(sum((tf(n) * idf.get(t, rarest)) ** 2 for t, n in found.items()))
+        got = max(((round(d / norm, 12), name) for d, name in zip(dots, self.names, strict=True)), default=(0.0, "")) if norm else (0.0, "")
+        return got if got[0] >= self.least else (0.0, "")
+
+
 class Scorer:
     """Cosines of units to the templates under given document frequencies; unknown terms weigh as the rarest."""
 
     def __init__(self, files: int, frequencies: dict[str, int]):
-        self.idf = {t: math.log((1 + files) / (1 + frequencies.get(t, 0))) + 1 for t in VOCABULARY}
-        self.rarest = math.log(1 + files) + 1
-        self.templates = [(name, {t: n * self.idf[t] for t, n in c.items()}) for name, c in _OF_TEMPLATES]
-        self.norms = [math.sqrt(sum(w * w for w in c.values())) for _, c in self.templates]
-        # Each template holds one of these; a unit without any names no licence and is not scored.
+        idf = {t: math.log((1 + files) / (1 + frequencies.get(t, 0))) + 1 for t in VOCABULARY}
+        rarest = math.log(1 + files) + 1
+        self.notices = Templates(_OF_TEMPLATES, idf, rarest, LEAST_COSINE, damped=False)
+        # Each template of the usual licences holds one of these.
         self.names = re.compile("licen[cs]e|bsd|mozilla|gnu|cc by", re.I)
-
-    def best(self, unit: str) -> tuple[float, str]:
-        found = terms(unit)
-        weights = {t: n * self.idf.get(t, self.rarest) for t, n in found.items()}
-        norm = math.sqrt(sum(w * w for w in weights.values()))
-        if not norm:
-            return 0.0, ""
-        return max(((sum(w * c.get(t, 0.0) for t, w in weights.items()) / (norm * m), name)
-                    for (name, c), m in zip(self.templates, self.norms, strict=True)), key=lambda x: (x[0], x[1]))
+        # In long texts plain counts are mostly of the words that all texts share.
+        self.full = Templates(_OF_FULL_TEXTS, idf, rarest, FULL_COSINE, damped=True)
 
     def of_file(self, text: str | None) -> tuple[str | None, float, int, int]:
-        """(licence, cosine, words of its unit, words of the file); ties go to the first unit."""
-        best, words, text = (0.0, ""), 0, text or ""
+        """(licence, cosine, words of its unit, words of the file); ties go to the first unit, the cosine is 0 without a licence."""
+        text = text or ""
         size = len(text.split())
+        kinds = [self.notices, self.full]
         if not self.names.search(text):
             return None, 0.0, 0, size
-        for unit in units(text):
-            if self.names.search(unit):
-                got = self.best(unit)
-                if got[0] > best[0]:
-                    best, words = got, len(unit.split())
-        if best[0] < LEAST_COSINE:
-            return None, best[0], 0, size
-        return best[1], best[0], words, size
+        best, words = (0.0, ""), 0
+        whole: Counter = Counter()
+        run: Counter = Counter()  # the terms of a paragraph
+        run_lines = run_words = lines = 0
+
+        def better(found: Counter, n: int) -> None:
+            nonlocal best, words
+            got = max((k.best(found) for k in kinds), default=(0.0, ""))
+            if got[0] > best[0]:
+                best, words = got, n
+
+        for line in [*text.split("\n"), ""]:
+            if not line.strip():
+                if run_lines > 1:
+                    better(run, run_words)
+                run, run_lines, run_words = Counter(), 0, 0
+                continue
+            found, n = terms(line), len(line.split())
+            whole.update(found)
+            lines += 1
+            run.update(found)
+            run_lines, run_words = run_lines + 1, run_words + n
+            if self.names.search(line):
+                better(found, n)
+        if lines > 1:
+            full = self.full.best(whole) if self.full in kinds else (0.0, "")
+            if full[0]:
+                best, words = full, size
+            else:
+                better(whole, size)
+        return (best[1], best[0], words, size) if best[0] else (None, 0.0, 0, size)
 
 
 def own_licenses(files: DataFrame) -> DataFrame:
@@ -133,6 +197,11 @@ def own_licenses(files: DataFrame) -> DataFrame:
         files.select("doc_id", "path", "text"), run, "doc_id long, path string, license string, cosine double, unit_words long, file_words long")
 
 
+# LICENSE, COPYING and the like, with a licence's name or the ending of a text; not a program about licences.
+LICENSE_FILE = (r"(^|/)(?i:(un)?licen[cs]es?|copying|copyright)([-_][0-9A-Za-z+]+(\.[0-9]+)?)*"
+                r"(\.((?i:txt|md|rst|html?)|[A-Z][A-Z0-9.+-]*))?$")
+
+
 def directory(path):
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", "")).otherwise(F.lit(""))
 
@@ -149,7 +218,8 @@ def licenses(files: DataFrame, file_share: float = FILE_SHARE) -> DataFrame:
     files = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"),
                          F.col("text").cast("string").alias("text"))
     rows = stored(own_licenses(files).withColumn("dir", directory(F.col("path"))), "licenses")
-    speaks = rows.filter(F.col("license").isNotNull() & (F.col("unit_words") >= file_share * F.col("file_words")))
+    alone = (F.col("unit_words") >= file_share * F.col("file_words")) | F.col("path").rlike(LICENSE_FILE)
+    speaks = rows.filter(F.col("license").isNotNull() & alone)
     best = F.min(F.struct((-F.col("cosine")).alias("c"), "path", "license"))
     given = speaks.filter("dir is not null").groupBy("dir").agg(best.alias("b")).select(
         F.col("dir").alias("license_dir"), F.col("b.license").alias("dir_license"))

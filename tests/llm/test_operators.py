@@ -364,6 +364,22 @@ def test_licenses(spark):
                           (7, None, False), (8, "Apache-2.0", False), (9, None, False), (2, "MIT", True)], key=lambda r: (r[0], str(r[1])))
 
 
+def test_full_license_files_speak_for_their_directory(spark):
+    full = license_scan.full_texts()
+    prose = "some words of plain prose that say nothing of terms " * 5
+    rows, want = [], {}
+    for i, (name, path) in enumerate({"MIT": "LICENSE", "Apache-2.0": "COPYING", "GPL-2.0": "notes", "GPL-3.0": "LICENSE.txt"}.items()):
+        text = "Copyright (c) 2031 Some Body and many others\n\n" + re.sub("Copyright.*", "Copyright (C) Some Body", full[name])
+        rows += [(2 * i, f"d{i}/{path}", "\n".join("  " + x for x in text.split("\n"))), (2 * i + 1, f"d{i}/src/x.py", prose)]
+        want |= {2 * i: (name, False), 2 * i + 1: (name, True)}
+    # By its name a file speaks with any match; a program about licences does not.
+    mixed = prose + "\n\nReleased under the MIT License.\n\n" + prose
+    rows += [(20, "e/LICENSE-MIT", mixed), (21, "e/y.py", prose), (22, "f/license_scan.py", mixed), (23, "f/y.py", prose)]
+    want |= {20: ("MIT", False), 21: ("MIT", True), 22: ("MIT", False), 23: (None, False)}
+    found = license_scan.licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert {r["doc_id"]: (r["license"], r["inherited"]) for r in found} == want
+
+
 # all: edge rows and empty tables
 
 OPERATORS = {
