@@ -64,7 +64,9 @@ def full_texts() -> dict[str, str]:
     return out
 
 
-_TERM = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
+_TERM = re.compile(r"[0-9a-z]+(?:\.[0-9a-z]+)*")
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[0-9a-z][0-9a-z.+-]*\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*[0-9a-z][0-9a-z.+-]*\)*)*)", re.I)
+_SPDX_ID = re.compile(r"(?<!with )[0-9a-z][0-9a-z.+-]*", re.I)
 
 
 def terms(unit: str) -> Counter:
@@ -78,6 +80,20 @@ def terms_held(text: str) -> set[str]:
 _OF_TEMPLATES = [(name, terms(t)) for name, texts in TEMPLATES.items() for t in texts]
 _OF_FULL_TEXTS = [(name, terms(t)) for name, t in sorted(full_texts().items())]
 VOCABULARY = sorted({t for _, c in _OF_TEMPLATES + _OF_FULL_TEXTS for t in c})
+_BY_SPDX = {name.lower(): name for name, _ in _OF_TEMPLATES + _OF_FULL_TEXTS}
+
+
+def spdx(line: str) -> str | None:
+    """The first known licence that a line's SPDX tag names; "" for a tag without one, None without a tag.
+
+    The tag is a template of its own for every licence. It has to agree in
+    the licence, which is only a part of its terms.
+    """
+    m = _SPDX.search(line)
+    if not m:
+        return None
+    ids = (re.sub(r"(-only|-or-later|\+)$", "", i.lower()) for i in _SPDX_ID.findall(" ".join(m[1].split())))
+    return next((_BY_SPDX[i] for i in ids if i in _BY_SPDX), "")
 
 
 def document_frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
@@ -115,6 +131,17 @@ class Templates:
     def tf(self, n: int) -> float:
         return 1 + math.log(n) if self.damped else n
 
+    def reachable(self, held: set[str]) -> bool:
+        """Whether any unit of a file that holds these terms can reach ``least``.
+
+        A cosine is at most the norm of the unit template's part in the shared terms.
+        """
+        squares = [0.0] * len(self.names)
+        for t in self.known & held:
+            for i, v in self.postings[t]:
+                squares[i] += v * v
+        return max(squares) >= (self.least - 1e-9) ** 2
+
     def best(self, found: Counter) -> tuple[float, str]:
         """(cosine, name) of the best template; equal cosines go to the later name. (0.0, "") if none reaches ``least``."""
         shared = self.known.intersection(found)
@@ -136,8 +163,6 @@ class Scorer:
         idf = {t: math.log((1 + files) / (1 + frequencies.get(t, 0))) + 1 for t in VOCABULARY}
         rarest = math.log(1 + files) + 1
         self.notices = Templates(_OF_TEMPLATES, idf, rarest, LEAST_COSINE, damped=False)
-        # Each template of the usual licences holds one of these.
-        self.names = re.compile("licen[cs]e|bsd|mozilla|gnu|cc by", re.I)
         # In long texts plain counts are mostly of the words that all texts share.
         self.full = Templates(_OF_FULL_TEXTS, idf, rarest, FULL_COSINE, damped=True)
 
@@ -145,12 +170,13 @@ class Scorer:
         """(licence, cosine, words of its unit, words of the file); ties go to the first unit, the cosine is 0 without a licence."""
         text = text or ""
         size = len(text.split())
-        kinds = [self.notices, self.full]
-        if not self.names.search(text):
+        held = terms_held(text)
+        kinds = [k for k in (self.notices, self.full) if k.reachable(held)]
+        if not kinds and not _SPDX.search(text):
             return None, 0.0, 0, size
         best, words = (0.0, ""), 0
         whole: Counter = Counter()
-        run: Counter = Counter()  # the terms of a paragraph
+        run: Counter = Counter()  # the terms of a paragraph; a line with an SPDX tag is a unit of its own
         run_lines = run_words = lines = 0
 
         def better(found: Counter, n: int) -> None:
@@ -165,13 +191,15 @@ class Scorer:
                     better(run, run_words)
                 run, run_lines, run_words = Counter(), 0, 0
                 continue
-            found, n = terms(line), len(line.split())
+            found, n, tag = terms(line), len(line.split()), spdx(line)
             whole.update(found)
             lines += 1
-            run.update(found)
-            run_lines, run_words = run_lines + 1, run_words + n
-            if self.names.search(line):
+            if tag is None:
+                run.update(found)
+                run_lines, run_words = run_lines + 1, run_words + n
                 better(found, n)
+            elif tag and best[0] < 1:
+                best, words = (1.0, tag), n
         if lines > 1:
             full = self.full.best(whole) if self.full in kinds else (0.0, "")
             if full[0]:

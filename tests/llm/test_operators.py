@@ -380,6 +380,23 @@ def test_full_license_files_speak_for_their_directory(spark):
     assert {r["doc_id"]: (r["license"], r["inherited"]) for r in found} == want
 
 
+def test_no_unit_above_the_threshold_is_skipped():
+    s = license_scan.Scorer(0, {})
+    for text, name in {
+        "This work is under a Creative Commons Attribution 4.0 International.": "CC-BY-4.0",
+        "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": "GPL-2.0",
+        "/* SPDX-License-Identifier: (EPL-2.0 OR MIT) */": "MIT", "SPDX-License-Identifier: EPL-2.0": None, "Licensed under Apache-2.0": "Apache-2.0",
+    }.items():
+        assert s.of_file("import x\n\n" + text + "\n")[0] == name, text
+    # The bound against every unit of random mixtures of templates and other words.
+    rng = random.Random(3)
+    words = [w for _, c in license_scan._OF_TEMPLATES for w in c] + ["other", "words"] * 20
+    for _ in range(2000):
+        unit = " ".join(rng.choices(words, k=rng.randrange(1, 9)))
+        found = license_scan.terms(unit)
+        assert s.notices.reachable(set(found)) or not s.notices.best(found)[0]
+
+
 # all: edge rows and empty tables
 
 OPERATORS = {
