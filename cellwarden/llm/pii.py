@@ -27,7 +27,14 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_ALNUM = re.compile("[A-Za-z0-9]")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+# Characters of an account by country, from the IBAN registry.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 "
+    "FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 "
+    "LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 "
+    "SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORDS = {
     "email": re.compile(r"mail|contact|write|@", re.I), "ip": re.compile(r"\bip\b|address|host|server", re.I),
@@ -60,6 +67,28 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """A blank and a word or number after an account look like more of it.
+
+    An account ends at its country's length; for a country that is not
+    listed every end is tried, the longest first.
+    """
+    m = _IBAN.search(text)
+    while m:
+        length = IBAN_LENGTHS.get(m[0][:2])
+        ends, plain = [], ""
+        for at in range(m.start(), m.end()):
+            if text[at] != " ":
+                plain += text[at]
+                if (len(plain) == length if length else len(plain) >= 15) and not _ALNUM.match(text, at + 1):
+                    ends.append((at + 1, plain))
+        end = next((e for e, p in reversed(ends) if mod_97(p)), 0)
+        if end:
+            yield m.start(), end
+        # An account may begin inside of a span that is none.
+        m = _IBAN.search(text, end or m.start() + 1)
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -81,10 +110,8 @@ def proposed(text: str) -> Iterator[tuple[int, int, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= len(_digits(m[0])) <= 15:
                 yield m.start(), 3, m.end()
-    for m in _IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod_97(plain):
-            yield m.start(), 4, m.end()
+    for s, e in _ibans(text):
+        yield s, 4, e
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield m.start(), 5, m.end()

@@ -157,6 +157,18 @@ def test_pii_bases_by_plain_regexes(docs):
 def test_pii_added_kinds_need_validators_and_context():
     assert [s[1] for s in pii.find("my IBAN is DE89 3704 0044 0532 0130 00, thanks")] == [4]
     assert pii.find("my IBAN is DE88 3704 0044 0532 0130 00, thanks") == []
+
+
+@pytest.mark.parametrize("text,want", [
+    ("IBAN GB82 WEST 1234 5698 7654 32 BIC NWBKGB2L", ["GB82 WEST 1234 5698 7654 32"]),
+    ("DE89370400440532013000 2500 EUR", ["DE89370400440532013000"]),
+    ("AB12 DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+    ("DE89370400440532013000 GB82WEST12345698765432 A", ["DE89370400440532013000", "GB82WEST12345698765432"]),
+    ("account ZZ22370400440532013000 2500", ["ZZ22370400440532013000"]),
+    ("DE89370400440532013000x", []), ("DE8937040044053201300", []),
+])
+def test_an_iban_ends_where_its_country_says(text, want):
+    assert [text[s:e] for s, k, e, _ in pii.find(text) if k == 4] == want
     assert [s[1] for s in pii.find("social security 078-05-1120")] == [5] and pii.find("part 078-05-1120") == []
 
 
