@@ -55,8 +55,10 @@ def safe_repair_columns(stats: TableStats) -> list[str]:
 
 
 def find_evidence(df: DataFrame, stats: TableStats, fds: list, parity: bool = False,
-                  near_duplicate_distinct: int | None = C.NEAR_DUP_MAX_DISTINCT) -> DataFrame:
+                  near_duplicate_distinct: int | None = None) -> DataFrame:
     """What all eleven detectors find in a table that carries ``row_id``."""
+    if parity and near_duplicate_distinct is None:
+        near_duplicate_distinct = C.NEAR_DUP_MAX_DISTINCT
     parts = [
         row_evidence(df, stats, iso_values=not parity),
         R.rare_patterns(df, stats),
@@ -71,7 +73,7 @@ def find_evidence(df: DataFrame, stats: TableStats, fds: list, parity: bool = Fa
 
 
 def analyze(df: DataFrame, key: str, dataset_id: str = "dataset", columns=None,
-            parity: bool = False, near_duplicate_distinct: int | None = C.NEAR_DUP_MAX_DISTINCT) -> Analysis:
+            parity: bool = False, near_duplicate_distinct: int | None = None) -> Analysis:
     """Profile, detect, fuse and decide.
 
     ``key`` is a unique numeric column used as the row id, checked over all
@@ -79,11 +81,12 @@ def analyze(df: DataFrame, key: str, dataset_id: str = "dataset", columns=None,
     at once: column statistics, and the mined dependencies (at most one per
     pair of columns). Everything after that is lazy.
 
-    ``parity`` keeps two behaviours that the safe default avoids: near
-    duplicates of identifiers and the like are repaired automatically, and
-    automatic date decisions carry no value. ``near_duplicate_distinct`` is
-    the most distinct values a column may have for the near-duplicate rule;
-    None searches every string column.
+    ``parity`` keeps three behaviours that the safe default avoids: near
+    duplicates of identifiers and the like are repaired automatically,
+    automatic date decisions carry no value, and near duplicates are searched
+    only in columns of up to ``NEAR_DUP_MAX_DISTINCT`` values.
+    ``near_duplicate_distinct`` sets that number; None, the default without
+    ``parity``, searches every string column.
     """
     table = spread(with_row_id(df, key))
     names = data_columns(table, key, columns)

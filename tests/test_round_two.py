@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cellwarden import constants as C
 from cellwarden.operators import relate as R
 from cellwarden.operators import repair
 from cellwarden.operators.stats import fit
@@ -73,3 +74,21 @@ def test_near_duplicates_beyond_500_values(spark):
             if near:
                 want[i] = min(near)[1]
     assert got == want and len(want) > 50
+
+
+def test_whole_analysis_searches_columns_of_any_number_of_values(spark):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+    from workload.cell_queries import _part_labels
+
+    sf = "/root/testdata/sf0.01"
+    labels = _part_labels(spark, sf)
+    assert labels.select("label").distinct().count() > C.NEAR_DUP_MAX_DISTINCT
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet'")
+    want = {(r[0], r[1], r[2], float(r[3])) for r in con.execute(
+        f"SELECT row_id, val, canon, score FROM ({entry.oracle_sql()['pl1b_near_duplicate_text']})").fetchall()}
+    got = {tuple(r) for r in entry.queries()["pl1b_near_duplicate_text"](spark, sf).collect()}
+    assert got == want and got
+    capped = analyze(labels, "row_id", "part_labels", parity=True).evidence
+    assert capped.where("detector = 'near_duplicate_detector'").isEmpty()

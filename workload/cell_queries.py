@@ -19,7 +19,7 @@ from cellwarden.plans.analyze import analyze
 from cellwarden.sources.files import number_rows
 from workload import oracle as O
 from workload.context import all_decisions, analysis, table
-from workload.registry import query
+from workload.registry import ORACLES, query
 
 _OBS = "CASE WHEN col IN {} THEN obs END AS observed_value"
 
@@ -73,6 +73,14 @@ _PART_LABELS = """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN concat(left
 FROM (SELECT p_partkey, concat(p_brand, ' ', p_name) AS t FROM part)"""
 
 
+def _part_labels(spark, d):
+    """A column of more than 500 distinct values, with a letter dropped in every fifth row."""
+    t = F.concat_ws(" ", "p_brand", "p_name")
+    typo = F.concat(F.substring(t, 1, 4), F.substring(t, 6, 1000))
+    return table(spark, d, "part").select(
+        F.col("p_partkey").alias("row_id"), F.when(F.col("p_partkey") % 5 == 0, typo).otherwise(t).alias("label"))
+
+
 @query("det7b_near_duplicate_text", f"""WITH RECURSIVE l AS ({_PART_LABELS}),
 v AS (SELECT label AS val, count(*) AS c, min(p_partkey) AS row_id FROM l GROUP BY 1),
 cand AS (SELECT s.val, s.row_id, r.val AS canon, r.row_id AS cf, lower(s.val) AS a, lower(r.val) AS b FROM v s JOIN v r ON s.c = 1 AND r.c > 1
@@ -84,11 +92,7 @@ lcs AS (SELECT *, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) A
 sim AS (SELECT *, 2.0 * r[length(b) + 1] / (length(a) + length(b)) AS ratio FROM lcs WHERE i = length(a))
 SELECT row_id, val, arg_min(canon, cf) AS canon, round(arg_min(ratio, cf), 4) AS score FROM sim WHERE ratio >= 0.85 AND ratio < 1 GROUP BY 1, 2""")
 def det7b(spark, d):
-    """A column of more than 500 distinct values, with a letter dropped in every fifth row."""
-    t = F.concat_ws(" ", "p_brand", "p_name")
-    typo = F.concat(F.substring(t, 1, 4), F.substring(t, 6, 1000))
-    df = table(spark, d, "part").select(
-        F.col("p_partkey").alias("row_id"), F.when(F.col("p_partkey") % 5 == 0, typo).otherwise(t).alias("label"))
+    df = _part_labels(spark, d)
     return R.near_duplicates(df, fit(df, ["label"])).select(
         "row_id", F.col("observed_value").alias("val"), F.col("expected_value").alias("canon"), "score")
 
@@ -415,7 +419,16 @@ def de7(spark, d):
 def pl1(spark, d):
     from cellwarden.plans.views import dirty_view
 
-    return analyze(dirty_view(spark, d, "dq_orders"), "row_id", "dq_orders").summary()
+    return analyze(dirty_view(spark, d, "dq_orders"), "row_id", "dq_orders",
+                   near_duplicate_distinct=C.NEAR_DUP_MAX_DISTINCT).summary()
+
+
+@query("pl1b_near_duplicate_text", ORACLES["det7b_near_duplicate_text"])
+def pl1b(spark, d):
+    """The whole analysis by its defaults on a column of any number of distinct values."""
+    a = analyze(_part_labels(spark, d), "row_id", "part_labels")
+    return a.evidence.where("detector = 'near_duplicate_detector'").select(
+        "row_id", F.col("observed_value").alias("val"), F.col("expected_value").alias("canon"), "score")
 
 
 @query("rp1_stats", f"""SELECT count(DISTINCT ds) AS datasets_count, count(*) AS total_decisions, count_if(decision = 'AUTO') AS auto_count,
