@@ -272,10 +272,16 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
-    """doc_id, hash, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
+    """As ``grouped``, without the component."""
+    return grouped(docs, width, share).drop("component")
+
+
+def grouped(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
+    """doc_id, hash, n_shingles, component, component_id, kept for each row of ``docs`` (doc_id, text).
 
     Links join rows whose sets meet 100 x intersection >= ``share`` x union;
-    component_id is the least doc_id reachable, kept marks the row that bears it.
+    component_id is the least doc_id reachable, kept marks the rows that bear it.
+    component tells groups apart whatever their ids are; it is null for an empty set.
 
     * A null, empty or blank text has an empty set and is linked with nothing:
       its component is itself and it is kept.
@@ -307,8 +313,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) ->
     names = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid"))
     least = names.groupBy("component").agg(F.min("name").alias("component_id"))
-    of_set = names.select("set_name", "component").join(least, "component").select("set_name", "component_id")
+    of_set = names.select("set_name", "component").join(least, "component").select("set_name", "component", "component_id")
     out = rows.select("doc_id", "hash", "n_shingles", "set_name").join(of_set, "set_name", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "hash", "n_shingles", "component_id",
+    return out.select("doc_id", "hash", "n_shingles", "component", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -26,9 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group; a document without words stands alone."""
-    found = neardup.near_duplicates(docs).filter("kept")
-    chosen = found.groupBy(F.col("doc_id").alias("k_id"), F.col("hash").alias("k_hash")).agg(F.count("*").alias("k_rows"))
-    chosen = stored(chosen, "chosen")
+    # Ids may repeat or be null, so kept can mark several texts of a group: the least (id, hash) of them stays.
+    found = neardup.grouped(docs).filter("kept").groupBy("component", "doc_id", "hash").agg(F.count("*").alias("k_rows"))
+    row = F.struct(F.col("doc_id").alias("k_id"), F.col("hash").alias("k_hash"), "k_rows")
+    of_group = found.filter("component is not null").groupBy("component").agg(F.min(row).alias("k")).select("k.*")
+    chosen = stored(of_group.union(found.filter("component is null").select(row.alias("k")).select("k.*")), "chosen")
     on = docs["doc_id"].eqNullSafe(chosen["k_id"]) & (F.xxhash64(docs["text"]) == chosen["k_hash"])
     rows = docs.join(chosen, on)
     if not chosen.filter("k_rows > 1").isEmpty():  # repeated rows: only they need the shuffle

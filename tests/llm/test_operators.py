@@ -459,6 +459,20 @@ def test_pipeline(spark, docs, edge):
     assert stage_rows(P, spark, edge.limit(0)) == 0
 
 
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    import corpus_pipeline as P
+
+    words = [f"word{i}" for i in range(60)]
+    copies = [" ".join([*words, f"end{i}"]) for i in range(3)]
+    other = [" ".join(w + "x" for w in words) + f" tail{i}" for i in range(2)]
+    rows = [(1, copies[0]), (1, copies[1]), (1, copies[1]), (2, copies[2]), (None, other[0]), (None, other[1]), (None, other[1]), (3, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in P.near_copies(spark, df, SF).collect()]
+    assert sum(t in copies for _, t in got) == 1 and sum(t in other for _, t in got) == 1
+    assert (1, copies[0]) in got or (1, copies[1]) in got
+    assert (3, "") in got and len(got) == 3 + df.filter("text is null").count()
+
+
 def stage_rows(P, spark, empty):
     return sum(stage(spark, empty, SF).count() for _, stage in P.STAGES)
 
