@@ -134,3 +134,23 @@ def op10_license_scan(spark, sf_dir):
 
     docs = _table(spark, sf_dir, "documents")
     return licenses(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
+
+
+@query()
+def op13_merge_replay(spark, sf_dir):
+    import public_tokenizers
+
+    from cellwarden.llm.merge_replay import digests
+
+    return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                   public_tokenizers.PATTERN)
+
+
+@query()
+def op11_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    from cellwarden.llm.token_alignment import align
+
+    return align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                 public_tokenizers.path("piece_bpe_32k.model"))
