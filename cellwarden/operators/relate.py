@@ -147,40 +147,128 @@ def _cuts(length: Column) -> Column:
         i.alias("piece"), bound(i).alias("start"), (bound(i + 1) - bound(i)).alias("size")))
 
 
+# Shortened copies made of a text for one partner length; beyond it the text is cut into pieces.
+MOST_COPIES = 300
+MOST_LEFT_OUT = 4
+
+
+def _left_out(own: Column, other: Column) -> Column:
+    """Characters a text must lose to meet any partner of a length at the threshold.
+
+    Of two texts within d insertions and deletions, one loses (d + own - other) / 2
+    characters and the other the rest of d; what is left is the same. d has the
+    parity of own + other. Null: no two texts of these lengths are close but unequal.
+    """
+    most = _most_edits(own, other)
+    most = most - F.pmod(most + own + other, F.lit(2))
+    return F.when((most > 0) & (most >= F.abs(own - other)), F.floor((most + own - other) / 2).cast("int"))
+
+
+def _copies(length: Column, left_out: Column) -> Column:
+    """Number of ways to leave so many characters out of a text."""
+    ways = F.lit(1.0)
+    out = F.when(left_out == 0, ways)
+    for k in range(1, MOST_LEFT_OUT + 1):
+        ways = ways * (length - (k - 1)) / k
+        out = out.when(left_out == k, ways)
+    return out.otherwise(F.lit(float("inf")))
+
+
+def _by_copies(single_length: Column, repeated_length: Column) -> Column:
+    """Whether shortened copies are few enough on both sides to index texts of these lengths by them."""
+    a, b = _left_out(single_length, repeated_length), _left_out(repeated_length, single_length)
+    return (_copies(single_length, a) <= MOST_COPIES) & (_copies(repeated_length, b) <= MOST_COPIES)
+
+
+def leftovers(text: Column, left_out: Column) -> Column:
+    """All distinct texts that remain when ``left_out`` characters (at most MOST_LEFT_OUT) are left out."""
+    states = F.array(F.struct(text.alias("s"), F.lit(1).alias("i")))
+    out = F.when(left_out == 0, F.array(text))
+    for k in range(1, MOST_LEFT_OUT + 1):
+        # Positions are left out from left to right, so no set of them comes twice.
+        states = F.flatten(F.transform(
+            F.filter(states, lambda e: e["i"] <= F.length(e["s"])),
+            lambda e: F.transform(F.sequence(e["i"], F.length(e["s"])), lambda i: F.struct(
+                F.concat(F.substring(e["s"], F.lit(1), i - 1), F.substring(e["s"], i + 1, F.length(e["s"]))).alias("s"),
+                i.alias("i")))))
+        out = out.when(left_out == k, F.array_distinct(F.transform(states, lambda e: e["s"])))
+    return out
+
+
+def met_by_copies(single: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Each single text with the first repeated one close to it, by a deletion neighbourhood.
+
+    Both sides are indexed by every text that remains when as many characters
+    as their lengths allow are left out. Equal remainders mean the pair is
+    close, and a close pair has one, so nothing is missed and nothing is
+    compared in vain. Of a remainder's repeated texts only the first two, by
+    row, can be the first unlike a given text, so a key never joins many to
+    many. The column names are those of the pairs' inputs.
+    """
+    low = F.lower("canonical")
+    first = F.min(F.struct("canonical_row", "canonical", "canonical_count"))
+    right = (
+        repeated.groupBy("column", low.alias("low")).agg(first.alias("m"))  # of texts alike but for case the first
+        .select("column", "low", "m.*", F.length("low").alias("len"), F.explode(similar_lengths(F.col("low"))).alias("n"))
+        .withColumn("n", F.col("n").cast("int")).where(_by_copies(F.col("n"), F.col("len")))
+        .select("*", F.explode(leftovers(F.col("low"), _left_out(F.col("len"), F.col("n")))).alias("rest")))
+    order = F.row_number().over(Window.partitionBy("column", "n", "len", "rest").orderBy("canonical_row"))
+    right = right.withColumn("place", order).where("place <= 2").drop("place")
+    text = F.lower("value")
+    left = (
+        single.withColumn("n", F.length(text)).where(_by_copies(F.col("n"), F.col("len")))
+        .select("column", "value", "row_id", "n", "len",
+                F.explode(leftovers(text, _left_out(F.col("n"), F.col("len")))).alias("rest")))
+    met = left.join(right, ["column", "n", "len", "rest"]).where(F.lower("value") != F.col("low"))
+    return met.groupBy("column", "row_id", "value").agg(first.alias("m")).select("column", "value", "row_id", "m.*")
+
+
 def blocked_pairs(single: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Pairs that can reach the threshold, met on a shared piece.
+    """Pairs of longer texts that can reach the threshold, met on a shared piece.
 
-    With fewer edits than pieces one piece of the repeated text survives, and
-    edits move it by no more than their number. So the single text is probed
-    for every piece at every such place; no pair is missed, and texts that
-    share no piece never meet. For texts too short to be cut finely enough,
-    a pair needs to share one character.
+    With fewer edits than pieces one piece of the repeated text survives. Edits
+    before it move it, edits behind it must make up the difference of lengths,
+    and both share one budget. So the single text is probed for every piece
+    at every such place; no pair is missed, and texts that share no piece
+    never meet.
     """
+    n = F.length(F.lower(F.col("value")))
+    single = single.where((F.col("len") > 0) & _left_out(n, F.col("len")).isNotNull() & ~_by_copies(n, F.col("len")))
     low = F.lower(F.col("canonical"))
     right = repeated.where("len > 0").select(
         "*", F.explode(_cuts(F.col("len"))).alias("cut")).select(
         "*", F.col("cut.piece").alias("piece"),
         F.substring(low, F.col("cut.start") + 1, F.col("cut.size")).alias("part")).drop("cut")
     text = F.lower(F.col("value"))
-    n = F.length(text)
-    reach = _most_edits(n, F.col("len"))
-    probes = single.where("len > 0").select("*", F.explode(_cuts(F.col("len"))).alias("cut")).select(
-        "*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("cut.start") - reach),
-                                  F.greatest(F.lit(0), F.col("cut.start") + reach))).alias("at"))
+    reach, longer = _most_edits(n, F.col("len")), n - F.col("len")
+    probes = single.select("*", F.explode(_cuts(F.col("len"))).alias("cut")).select(
+        "*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("cut.start") + F.ceil((longer - reach) / 2).cast("int")),
+                                  F.greatest(F.lit(0), F.col("cut.start") + F.floor((longer + reach) / 2).cast("int"))
+                                  )).alias("at"))
     left = probes.where(F.col("at") + F.col("cut.size") <= n).select(
         "column", "value", "row_id", "len", F.col("cut.piece").alias("piece"),
         F.substring(text, F.col("at") + 1, F.col("cut.size")).alias("part")).distinct()
     return left.join(right, ["column", "len", "piece", "part"]).drop("piece", "part").distinct()
 
 
+def same_digits(a, b) -> Column:
+    """Both texts hold the same digits in the same order."""
+    digits = lambda c: F.regexp_replace(c, r"\P{N}", "")
+    return digits(a) == digits(b)
+
+
 def near_duplicates(df: DataFrame, stats: TableStats, safe_columns=None,
                     names: list[str] | None = None, max_distinct: int | None = None) -> DataFrame | None:
     """Single values close to a repeated one; the first such one is expected.
 
     Works on the distinct values. In columns of up to ``NEAR_DUP_MAX_DISTINCT``
-    of them partners meet on (column, length); beyond it also on a shared
-    piece of text. A single value sits in exactly one row, its first, so no
-    join back to the table follows.
+    of them partners meet on (column, length); beyond it short texts meet on
+    what remains when characters are left out, longer ones on a shared piece.
+    A single value sits in exactly one row, its first, so no join back to the
+    table follows. ``safe_columns`` may be repaired automatically, but only
+    where value and expected value hold the same digits: numbers, codes and
+    dates that differ in a digit are other values, not typos. None (the rule
+    set's own behaviour) marks every finding as repairable.
     """
     names = [c for c in near_duplicate_columns(stats, max_distinct) if names is None or c in names]
     if not names:
@@ -196,19 +284,24 @@ def near_duplicates(df: DataFrame, stats: TableStats, safe_columns=None,
         F.col("first_row").alias("canonical_row"), F.length(F.lower("value")).alias("len"),
     )
     few = ~F.col("column").isin(*many) if many else F.lit(True)
-    pairs = single.where(few).join(repeated.where(few), ["column", "len"])
+    pairs = single.where(few).join(repeated.where(few), ["column", "len"]).drop("len")
     if many:
-        pairs = pairs.unionByName(blocked_pairs(single.where(~few), repeated.where(~few)).select(*pairs.columns))
+        # A value becomes many rows, so few bytes are much work: not to be coalesced into few tasks.
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sides = [side.where(~few).repartition(parts) for side in (single, repeated)]
+        for meet in (met_by_copies, blocked_pairs):
+            pairs = pairs.unionByName(meet(*sides).select(*pairs.columns))
     longest = max(stats.columns[c].max_length for c in names)
     close = with_similarity(pairs, "value", "canonical", longest).where(
         (F.col("ratio") >= C.SIMILARITY_MIN) & (F.col("ratio") < 1.0))
     best = close.groupBy("column", "row_id", "value").agg(
         F.min_by(F.struct("canonical", "canonical_count", "ratio"), "canonical_row").alias("m"))
-    safe = set(names if safe_columns is None else safe_columns)
+    safe = F.lit(True) if safe_columns is None else (
+        F.col("column").isin(*safe_columns) & same_digits("value", "m.canonical") if safe_columns else F.lit(False))
     hit = found(
         "near_duplicate_detector", F.col("column"), F.round("m.ratio", 4), F.col("value"),
         F.col("m.canonical"), reasons=["near_duplicate", "possible_typo"],
-        repairable=F.col("column").isin(*safe) if safe else F.lit(False),
+        repairable=safe,
         details={"similarity": F.round("m.ratio", 4), "canonical_frequency": F.col("m.canonical_count")},
     )
     return best.select("row_id", F.inline(F.array(hit)))

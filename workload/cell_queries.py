@@ -419,8 +419,17 @@ def de7(spark, d):
 def pl1(spark, d):
     from cellwarden.plans.views import dirty_view
 
-    return analyze(dirty_view(spark, d, "dq_orders"), "row_id", "dq_orders",
-                   near_duplicate_distinct=C.NEAR_DUP_MAX_DISTINCT).summary()
+    return analyze(dirty_view(spark, d, "dq_orders"), "row_id", "dq_orders").summary()
+
+
+@query("det7c_near_duplicate_numbers", O.cells_cte("dq_orders") + ", " + O.STATS + "," + O.near(O.SAFE["dq_orders"])
+       + """SELECT row_id, col, obs, exp, score, rep FROM e7 WHERE col = 'units'""")
+def det7c(spark, d):
+    """Numbers held as text, by the defaults of the analysis: found, and left to review where digits differ."""
+    return analysis(spark, d, "dq_orders").evidence.where(
+        "detector = 'near_duplicate_detector' and column = 'units'").select(
+        "row_id", F.col("column").alias("col"), F.col("observed_value").alias("obs"), F.col("expected_value").alias("exp"),
+        "score", F.col("repair_deterministic").alias("rep"))
 
 
 @query("pl1b_near_duplicate_text", ORACLES["det7b_near_duplicate_text"])

@@ -7,7 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwarden.constants import NEAR_DUP_MAX_DISTINCT
 from cellwarden.plans.analyze import Analysis, analyze
 from cellwarden.plans.views import dirty_view
 
@@ -19,13 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def analysis(spark: SparkSession, sf_dir: str, view: str) -> Analysis:
-    """The analysis of a dirty view, fitted once per session and folder.
-
-    The SQL of its queries states near duplicates of columns of up to 500 values.
-    """
+    """The analysis of a dirty view by its defaults, fitted once per session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir, view)
     if key not in _ANALYSES:
-        _ANALYSES[key] = analyze(dirty_view(spark, sf_dir, view), "row_id", view, near_duplicate_distinct=NEAR_DUP_MAX_DISTINCT)
+        _ANALYSES[key] = analyze(dirty_view(spark, sf_dir, view), "row_id", view)
     return _ANALYSES[key]
 
 

@@ -136,13 +136,17 @@ TYPES = "e6 AS (" + _ev(
 
 
 def near(safe_columns=None) -> str:
-    rep = "true" if safe_columns is None else f"col IN {in_list(safe_columns)}" if safe_columns else "false"
+    digits = lambda c: f"regexp_replace({c}, '[^0-9]', '', 'g')"
+    same = f"{digits('val')} = {digits('canon')}"
+    rep = "true" if safe_columns is None else f"col IN {in_list(safe_columns)} AND {same}" if safe_columns else "false"
     return f"""
-cand AS (SELECT s.col, s.val, s.first_row AS row_id, v.val AS canon, v.first_row AS cf,
-                lower(s.val) AS a, lower(v.val) AS b
+lens AS (SELECT s.col, s.val, s.first_row AS row_id, v.val AS canon, v.first_row AS cf,
+                lower(s.val) AS a, lower(v.val) AS b, length(s.val) + length(v.val) AS t,
+                CAST(floor(0.15 * (length(s.val) + length(v.val)) + 0.000001) AS INTEGER) AS edits
          FROM val_counts s JOIN val_counts v ON s.col = v.col AND s.c = 1 AND v.c > 1
-         JOIN col_stats k ON k.col = s.col AND k.kind = 's' AND k.nv >= 5 AND k.nd BETWEEN 2 AND 500
-         WHERE 2.0 * least(length(s.val), length(v.val)) / (length(s.val) + length(v.val)) >= 0.85),
+         JOIN col_stats k ON k.col = s.col AND k.kind = 's' AND k.nv >= 5 AND k.nd >= 2
+         WHERE abs(length(s.val) - length(v.val)) <= 0.15 * (length(s.val) + length(v.val)) + 0.000001),
+cand AS (SELECT col, val, row_id, canon, cf, a, b FROM lens WHERE levenshtein(a, b) <= edits - (edits + t) % 2),
 lcs AS (SELECT col, val, row_id, canon, cf, a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) AS r FROM cand
         UNION ALL
         SELECT col, val, row_id, canon, cf, a, b, i + 1,
