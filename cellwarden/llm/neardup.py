@@ -34,7 +34,7 @@ from cellwarden.llm.components import components
 WIDTH = 5
 SHARE = 75  # percent of the union
 CHUNKS, LANES, BITS = 14, 6, 10
-MAX_DISTANCE = 44
+GUARANTEED = 2 * CHUNKS - 1  # differing values up to which every pair shares a key
 BLOCK = 400  # classes in a block; a task holds two blocks at a time
 
 _VALUES = CHUNKS * LANES
@@ -143,13 +143,13 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return in_batches(full, _confirm(width, share), "u long, v long")
 
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose signatures are not too far apart."""
-    signs = classes.select("cid", "signature")
-    a = signs.select(F.col("cid").alias("a"), F.col("signature").alias("sign_a"))
-    b = signs.select(F.col("cid").alias("b"), F.col("signature").alias("sign_b"))
-    return (pairs.join(a, "a").join(b, "b")
-            .filter(distance(F.col("sign_a"), F.col("sign_b")) <= MAX_DISTANCE).select("a", "b"))
+def _near(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
+    """Pairs whose set sizes allow the similarity."""
+    sizes = classes.select("cid", "n_shingles")
+    a = sizes.select(F.col("cid").alias("a"), F.col("n_shingles").alias("n_a"))
+    b = sizes.select(F.col("cid").alias("b"), F.col("n_shingles").alias("n_b"))
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    return pairs.join(a, "a").join(b, "b").filter(100 * least >= share * most).select("a", "b")
 
 
 def _cross(width: int, share: int):
@@ -177,7 +177,8 @@ def _cross(width: int, share: int):
             if a == b:
                 can[:i + 1] = False
             can = np.flatnonzero(can)
-            can = can[(values[can] != values[i]).sum(axis=1) <= MAX_DISTANCE]
+            apart = (values[can] != values[i]).reshape(len(can), CHUNKS, LANES).sum(axis=2)
+            can = can[apart.min(axis=1, initial=LANES) <= 1]  # those that share a key
             for j in can:
                 x, y = find(row[2]), find(rows[j][2])
                 if x == y:
@@ -227,11 +228,10 @@ def _jumped(heads: DataFrame) -> DataFrame:
     return heads
 
 
-def _first_labels(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, component): nodes of one label are linked for certain, others may be too."""
-    heads = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("head"))
-    return stored(classes.select(F.col("cid").alias("node")).join(_jumped(heads), "node", "left").select(
-        "node", F.coalesce("head", "node").alias("component")), "labels")
+def _labels(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component) for every class, linked or not."""
+    return stored(classes.select(F.col("cid").alias("node")).join(found, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component")), "labels")
 
 
 def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame,
@@ -303,15 +303,16 @@ def grouped(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFram
     keys = bucket_keys(classes)
     leads = keys.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).filter("last > lead")
     members = stored(keys.join(leads.select("key", "lead"), "key").filter("cid > lead"), "buckets")
-    first = _near(members.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), classes)
-    edges = stored(confirmed(first, classes, docs, width, share), "links")
-    more = _across(members, _first_labels(edges, classes), classes, docs, width, share)
-    if more is not None:
-        edges = edges.union(more)
-    labels = components(edges)
-
-    names = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
-        "component", F.coalesce("component", "cid"))
+    first = _near(members.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), classes, share)
+    labels = _labels(components(confirmed(first, classes, docs, width, share)), classes)
+    more = _across(members, labels, classes, docs, width, share)
+    if more is not None:  # links between components: components of those
+        to = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+        links = more.join(to("u"), "u").join(to("v"), "v").select(F.col("c_u").alias("u"), F.col("c_v").alias("v"))
+        above = components(links).select(F.col("node").alias("component"), F.col("component").alias("above"))
+        labels = labels.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+
+    names = classes.join(labels.withColumnRenamed("node", "cid"), "cid")
     least = names.groupBy("component").agg(F.min("name").alias("component_id"))
     of_set = names.select("set_name", "component").join(least, "component").select("set_name", "component", "component_id")
     out = rows.select("doc_id", "hash", "n_shingles", "set_name").join(of_set, "set_name", "left")
