@@ -10,6 +10,7 @@ from cellwarden.operators.decide import decide, gate_context
 from cellwarden.operators.detect import ROW_DETECTORS, outlier_bounds, row_evidence
 from cellwarden.operators.evidence import describe
 from cellwarden.operators.stats import TableStats
+from cellwarden.streaming.late import run_window_log, windows_as_of
 
 STREAM_DETECTORS = tuple(d for d in ROW_DETECTORS if d != "date_format_detector")
 
@@ -54,12 +55,30 @@ def stream_distinct(stream: DataFrame, keys: list[str], time: str, late: str) ->
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def _outside(baseline: TableStats, column: str):
+    fences = outlier_bounds(baseline.columns[column])
+    return F.lit(False) if fences is None else ((F.col(column) < fences[0]) | (F.col(column) > fences[1]))
+
+
+def run_quality_log(stream: DataFrame, baseline: TableStats, column: str, time: str, window: str, late: str,
+                    out: str, checkpoint: str) -> StreamingQuery:
+    """Quality of one numeric column per tumbling window as an update log, so that late rows correct closed windows."""
+    sums = {"n_rows": F.lit(1).cast("long"), "n_null": F.col(column).isNull().cast("long"),
+            "n_outside": F.when(_outside(baseline, column), 1).otherwise(0).cast("long")}
+    return run_window_log(stream, time, window, late, sums, out, checkpoint)
+
+
+def quality_as_of(spark, out: str, version: int | None = None) -> DataFrame:
+    """Null and outlier rates per window after a batch (default: the last), with version and corrections."""
+    rows = windows_as_of(spark, out, ["n_rows", "n_null", "n_outside"], version=version)
+    return rows.select("window_start", "n_rows", F.round(F.col("n_null") / F.col("n_rows"), 4).alias("null_rate"),
+                       F.round(F.col("n_outside") / F.col("n_rows"), 4).alias("outlier_rate"), "version", "corrections")
+
+
 def quality_metrics(stream: DataFrame, baseline: TableStats, column: str, time: str,
                     window: str, late: str | None = None) -> DataFrame:
     """Null and outlier rates of one numeric column per tumbling window."""
-    fences = outlier_bounds(baseline.columns[column])
-    outside = F.lit(False) if fences is None else (
-        (F.col(column) < fences[0]) | (F.col(column) > fences[1]))
+    outside = _outside(baseline, column)
     source = stream if late is None else stream.withWatermark(time, late)
     return source.groupBy(F.window(time, window)).agg(
         F.count("*").alias("n_rows"),

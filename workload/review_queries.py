@@ -12,6 +12,7 @@ from cellwarden.operators.cells import with_row_id
 from cellwarden.operators.stats import fit
 from cellwarden.sources.catalog import Catalog, write_cleaned
 from cellwarden.streaming import detect as ST
+from cellwarden.streaming import late as LT
 from workload import oracle as O
 from workload.context import all_decisions, analysis, scratch, table
 from workload.registry import query
@@ -335,15 +336,34 @@ def io7(spark, d):
 
 # --- streaming --------------------------------------------------------------
 
-def _event_stream(spark, d):
-    """All events as a stream of four files in event order, one per batch."""
-    events, folder = table(spark, d, "events"), scratch(spark, "events")
-    bounds = events.select(F.col("ts").cast("timestamp").cast("double").alias("t")).agg(F.min("t"), F.max("t")).first()
+# Rows in a file of a stream's input: files grow in number with the table, not in size.
+FILE_ROWS = 250_000
+
+
+def _quarters(events, folder, late_rows=False):
+    """Writes events in four batches by time, in files of bounded size; the files of one batch.
+
+    ``late_rows``: every 17th event comes a batch later, every 23rd comes once more in the last one.
+    """
     t = F.col("ts").cast("timestamp").cast("double")
-    part = F.least(F.floor((t - F.lit(bounds[0])) * 4 / F.lit(bounds[1] - bounds[0] or 1.0)), F.lit(3))
-    for i in range(4):
-        events.where(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    lo, hi, n = events.agg(F.min(t), F.max(t), F.count("*")).first()
+    part = F.coalesce(F.least(F.floor((t - F.lit(lo)) * 4 / F.lit(hi - lo or 1.0)), F.lit(3)), F.lit(0)).cast("int")
+    rows = events.withColumn("_part", part)
+    if late_rows:
+        again = events.where("event_id % 23 = 0").withColumn("_part", F.lit(3))
+        later = F.when(F.col("event_id") % 17 == 0, F.least(F.col("_part") + 1, F.lit(3))).otherwise(F.col("_part"))
+        rows = rows.withColumn("_part", later).unionByName(again)
+    files = max(1, -(-n // (4 * FILE_ROWS)))
+    for i in range(4):  # one after the other, since a stream takes files by their times
+        rows.where(F.col("_part") == i).drop("_part").repartition(files).write.mode("append").parquet(folder)
+    return files
+
+
+def _event_stream(spark, d, late_rows=False):
+    """All events as a stream of four batches in event order."""
+    events, folder = table(spark, d, "events"), scratch(spark, "events")
+    files = _quarters(events, folder, late_rows)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 _OUT = """WITH s AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, avg(value) AS mean, stddev_pop(value) AS sd FROM events) """
@@ -397,3 +417,65 @@ def st3(spark, d):
     events = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     metrics = ST.quality_metrics(events, baseline, "value", "ts", "1 hour", "1 hour")
     return _collect_stream(spark, metrics, "update", ["window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# The same arrival in SQL: batches, and each one's watermark an hour behind all earlier ones.
+_ARRIVALS = """WITH b AS (SELECT min(epoch(ts)) AS lo, max(epoch(ts)) AS hi FROM events),
+p AS (SELECT events.*, CAST(least(floor((epoch(ts) - lo) * 4 / (hi - lo)), 3) AS INTEGER) AS part FROM events, b),
+a AS (SELECT event_id, ts, value, CASE WHEN event_id % 17 = 0 THEN least(part + 1, 3) ELSE part END AS batch FROM p
+      UNION ALL SELECT event_id, ts, value, 3 FROM p WHERE event_id % 23 = 0),
+w AS (SELECT x.batch, max(y.ts) - INTERVAL '1 hour' AS mark FROM (SELECT DISTINCT batch FROM a) x LEFT JOIN a y ON y.batch < x.batch GROUP BY 1),
+r AS (SELECT a.*, coalesce(ts < mark, false) AS late FROM a JOIN w USING (batch))
+"""
+
+
+def _late_stream(spark, d):
+    return _event_stream(spark, d, late_rows=True).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run_distinct(spark, d):
+    out = scratch(spark, "distinct")
+    LT.run_distinct(_late_stream(spark, d), ["event_id"], "ts", "1 hour", out, scratch(spark, "checkpoint")).awaitTermination()
+    return out
+
+
+@query("st2c_stream_distinct_late", _ARRIVALS + """SELECT event_id, count(*) FILTER (WHERE late) AS late_copies, bool_or(NOT late) AS in_time
+FROM r GROUP BY 1""")
+def st2c(spark, d):
+    """Every event is among the first arrivals or in the late sink, though files are out of order and events repeat."""
+    out = _run_distinct(spark, d)
+    late = LT.late_rows(spark, out).groupBy("event_id").agg(F.count("*").alias("late_copies"))
+    first = spark.read.parquet(f"{out}/rows").select("event_id", F.lit(True).alias("in_time"))
+    return first.join(late, "event_id", "full").select(
+        "event_id", F.coalesce("late_copies", F.lit(0)).alias("late_copies"), F.coalesce("in_time", F.lit(False)).alias("in_time"))
+
+
+@query("st2d_stream_late_count", _ARRIVALS + "SELECT batch, count(*) AS late FROM r WHERE late GROUP BY 1")
+def st2d(spark, d):
+    return LT.late_rows(spark, _run_distinct(spark, d)).groupBy(F.col("batch").cast("int").alias("batch")).agg(F.count("*").alias("late"))
+
+
+def _run_windows(spark, d):
+    baseline = fit(with_row_id(table(spark, d, "events"), "event_id"), ["value"])
+    out = scratch(spark, "windows")
+    ST.run_quality_log(_late_stream(spark, d), baseline, "value", "ts", "1 hour", "1 hour", out, scratch(spark, "checkpoint")).awaitTermination()
+    return out
+
+
+@query("st3b_corrected_windows", _ARRIVALS + ", s AS (" + _OUT.split("AS (", 1)[1].rstrip() + f""" SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2024-01-01') AS window_start,
+ count(*) AS n_rows, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 4) AS null_rate,
+ round(avg(CASE WHEN {_OUTSIDE} THEN 1.0 ELSE 0.0 END), 4) AS outlier_rate, max(batch)::BIGINT AS version FROM r, s GROUP BY 1""")
+def st3b(spark, d):
+    """Late rows change the published figures of closed windows."""
+    return ST.quality_as_of(spark, _run_windows(spark, d)).drop("corrections").withColumn(
+        "window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("st3c_window_corrections", _ARRIVALS + """SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2024-01-01') AS window_start, batch::BIGINT AS version,
+ count(*)::BIGINT AS added FROM r JOIN w USING (batch)
+WHERE time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2024-01-01') + INTERVAL '1 hour' <= w.mark GROUP BY 1, 2""")
+def st3c(spark, d):
+    """The corrections themselves: rows added to windows that the watermark had passed."""
+    found = LT.changes(spark, _run_windows(spark, d), ["n_rows"]).where("closed")
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "version",
+                        (F.col("n_rows") - F.col("replaced_n_rows")).cast("long").alias("added"))
