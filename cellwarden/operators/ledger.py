@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,9 +91,21 @@ def review_events(reviews: DataFrame) -> DataFrame:
     )
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Append to the ledger; an error stops the caller before it commits."""
-    events.write.mode("append").partitionBy("event_type").parquet(path)
+def batch_key(events: DataFrame) -> str:
+    """A name made of the ids of a batch, whatever their order."""
+    total = F.sum(F.xxhash64("id").cast("decimal(38,0)"))
+    n, one, two = events.agg(F.count("*"), total, F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)"))).first()
+    return f"{n}-{one or 0}-{two or 0}"
+
+
+def append_events(events: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append a batch to the ledger; an error stops the caller before it commits.
+
+    A batch lies under its own key, by default made of its ids. Appending it
+    again, after a failure or by mistake, replaces it, so it counts once.
+    """
+    folder = f"{path.rstrip('/')}/batch={batch or batch_key(events)}"
+    events.write.mode("overwrite").partitionBy("event_type").parquet(folder)
 
 
 def query_events(ledger: DataFrame, dataset_id: str | None = None, event_type: str | None = None,
@@ -176,3 +190,75 @@ def batch_root(roots: DataFrame, blocks: int, previous: str = "") -> DataFrame:
     return roots.agg(
         F.sum("events").alias("events"),
         F.sha2(F.concat(F.lit(previous), _in_order()), 256).alias("batch_root"))
+
+
+def _block(blocks: int) -> Column:
+    return F.pmod(F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint"), F.lit(blocks))
+
+
+def hash_tree(ledger: DataFrame, blocks: int) -> DataFrame:
+    """All digests on the way to the batch root: level, parent, node, digest, events.
+
+    Level 0 holds the events (node: id, parent: block), level 1 the blocks, the
+    levels above groups of ``FAN_OUT``. A node's digest is that of its children:
+    events by digest, others by number. To be stored beside the ledger.
+    """
+    levels = [ledger.select(F.lit(0).alias("level"), _block(blocks).alias("parent"), F.col("id").alias("node"),
+                            leaf_hash().alias("digest"), F.lit(1).cast("long").alias("events"))]
+    rows, level = block_roots(ledger, blocks), 1
+    while True:
+        parent = F.floor(F.col("block") / FAN_OUT) if blocks > FAN_OUT else F.lit(0).cast("long")
+        levels.append(rows.select(F.lit(level).alias("level"), parent.alias("parent"), F.col("block").cast("string").alias("node"),
+                                  F.col("block_root").alias("digest"), "events"))
+        if blocks <= FAN_OUT:
+            return reduce(DataFrame.unionByName, levels)
+        rows = rows.groupBy(F.floor(F.col("block") / FAN_OUT).alias("parent")).agg(
+            F.sum("events").alias("events"), F.sha2(_in_order(), 256).alias("block_root")).withColumnRenamed("parent", "block")
+        blocks, level = -(-blocks // FAN_OUT), level + 1
+
+
+def inclusion_path(tree: DataFrame, id_: str) -> DataFrame:
+    """What is needed to reach the root from one event: its siblings and those of each node above; ``own`` marks the way.
+
+    At most a block's events and ``FAN_OUT`` digests a level. Empty if the event is not in the tree.
+    """
+    top = tree.agg(F.max("level")).first()[0] or 0
+    way, parts = tree.where((F.col("level") == 0) & (F.col("node") == id_)), []
+    for level in range(top + 1):
+        mine = way.select("parent", F.col("node").alias("_own"))
+        parts.append(tree.where(F.col("level") == level).join(mine, "parent").withColumn("own", F.col("node") == F.col("_own")).drop("_own"))
+        above = way.select(F.col("parent").cast("string").alias("node"))
+        way = tree.where(F.col("level") == level + 1).join(above, "node", "left_semi")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def proof(path: DataFrame, leaf: str, previous: str = "") -> DataFrame:
+    """One row: whether ``leaf`` is the path's event and each node holds its children, and the batch root that follows."""
+    number = F.when(F.col("level") > 0, F.col("node").cast("long"))
+    children = F.array_sort(F.collect_list(F.struct(number.alias("number"), "digest")))
+    levels = path.groupBy("level").agg(
+        F.concat_ws("", F.transform(children, lambda c: c["digest"])).alias("joined"),
+        F.max(F.when(F.col("own"), F.col("digest"))).alias("own"))
+    below = levels.select((F.col("level") + 1).alias("level"), F.sha2("joined", 256).alias("made"))
+    held = levels.join(below, "level", "left").withColumn("holds", F.coalesce("made", F.lit(leaf)) == F.col("own"))
+    return held.agg((F.count("*") > 1).alias("found"), F.coalesce(F.every("holds"), F.lit(False)).alias("valid"),
+                    F.sha2(F.concat(F.lit(previous), F.max_by("joined", "level")), 256).alias("batch_root")).select(
+        (F.col("found") & F.col("valid")).alias("valid"), "batch_root")
+
+
+def altered_blocks(tree: DataFrame, ledger: DataFrame, blocks: int) -> DataFrame:
+    """Blocks whose events are no longer those of the stored tree: block, events and digests then and now."""
+    stored = tree.where("level = 1").select(F.col("node").cast("long").alias("block"), F.col("events").alias("events_stored"),
+                                            F.col("digest").alias("digest_stored"))
+    now = block_roots(ledger, blocks).withColumnsRenamed({"events": "events_now", "block_root": "digest_now"})
+    return stored.join(now, "block", "full").where(~F.col("digest_stored").eqNullSafe(F.col("digest_now")))
+
+
+def altered_events(tree: DataFrame, ledger: DataFrame, blocks: int) -> DataFrame:
+    """Events added, lost or changed since the tree was stored: id, block, what happened. Only altered blocks are compared."""
+    bad = altered_blocks(tree, ledger, blocks).select("block")
+    stored = tree.where("level = 0").select(F.col("parent").alias("block"), F.col("node").alias("id"), F.col("digest").alias("then"))
+    now = ledger.select(_block(blocks).alias("block"), "id", leaf_hash().alias("now"))
+    both = stored.join(bad, "block", "left_semi").join(now.join(bad, "block", "left_semi"), ["block", "id"], "full")
+    change = F.when(F.col("then").isNull(), "added").when(F.col("now").isNull(), "lost").otherwise("changed")
+    return both.where(~F.col("then").eqNullSafe(F.col("now"))).select("id", "block", change.alias("change"))

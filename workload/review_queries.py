@@ -320,6 +320,30 @@ def au5(spark, d):
     return L.batch_root(L.block_roots(ledger, blocks), blocks, "genesis")
 
 
+@query("au5b_altered_events", """SELECT sha256(CAST(event_id AS VARCHAR)) AS id, CAST(('0x' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT)
+  % (SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) FROM events) AS block, 'changed' AS change FROM events WHERE event_id % 5003 = 11
+UNION ALL SELECT sha256(CAST(event_id AS VARCHAR)), CAST(('0x' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT)
+  % (SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) FROM events), 'lost' FROM events WHERE event_id % 5003 = 12""")
+def au5b(spark, d):
+    """Against the stored tree: some events were given another actor, some removed."""
+    events = _event_ledger(spark, d)
+    ledger = events.withColumn("id", F.sha2("id", 256))
+    blocks, path = L.block_count(ledger), scratch(spark, "tree")
+    L.hash_tree(ledger, blocks).write.parquet(path)
+    number = F.col("id").cast("long") % 5003
+    now = events.where(number != 12).withColumn("actor", F.when(number == 11, "someone").otherwise(F.col("actor")))
+    return L.altered_events(spark.read.parquet(path), now.withColumn("id", F.sha2("id", 256)), blocks)
+
+
+@query("au1b_repeated_append", f"""WITH {_LEDGER} SELECT event_type, count(*) AS events FROM led GROUP BY 1""")
+def au1b(spark, d):
+    """The same batch appended twice counts once."""
+    path, events = scratch(spark, "ledger"), _event_ledger(spark, d)
+    for _ in range(2):
+        L.append_events(events, path)
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("events"))
+
+
 # --- catalog ----------------------------------------------------------------
 
 @query("io7_catalog", O.decided("dq_orders") + """ SELECT 'dq_orders' AS dataset_id, count(*) AS stored_decisions, count_if(decision = 'AUTO') AS auto_count FROM dec""")
@@ -334,6 +358,16 @@ def io7(spark, d):
     return catalog.datasets().join(stored, "dataset_id").select("dataset_id", "stored_decisions", "auto_count")
 
 
+@query("io7b_catalog_versions", """SELECT 1 AS version, count(*) AS n_rows FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 2, count(*) FROM customer""")
+def io7b(spark, d):
+    """A table is registered twice; both versions can be loaded again."""
+    catalog, customers = Catalog(spark, scratch(spark, "catalog")), table(spark, d, "customer")
+    for part in (customers.where("c_custkey % 2 = 0"), customers):
+        catalog.register("customer", part.agg(F.count("*").alias("n_rows")), part.select("c_custkey"), TS, table=part)
+    return catalog.reload("customer", 1).agg(F.lit(1).alias("version"), F.count("*").alias("n_rows")).unionByName(
+        catalog.reload("customer").agg(F.lit(2).alias("version"), F.count("*").alias("n_rows")))
+
+
 # --- streaming --------------------------------------------------------------
 
 # Rows in a file of a stream's input: files grow in number with the table, not in size.
