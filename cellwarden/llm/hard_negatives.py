@@ -119,8 +119,12 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(kind) @ b.astype(kind).T
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(block_bytes: int, most_anchors: int, most_zones: int):
     """Sorted rows to rows of three kinds: blocks with all vectors, pages of zone maps, chunks of anchors."""
+    return lambda batches: _build(batches, block_bytes, most_anchors, most_zones)
+
+
+def _build(batches: Iterator[pa.RecordBatch], block_bytes: int, most_anchors: int, most_zones: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId() << 23
@@ -141,8 +145,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if anchors:
             made = {n: np.concatenate([a[n] for a in anchors]) for n in anchors[0]}
             anchors.clear()
-            for at in range(0, len(made["ids"]), CHUNK):
-                piece = {n: v[at:at + CHUNK] for n, v in made.items()}
+            for at in range(0, len(made["ids"]), most_anchors):
+                piece = {n: v[at:at + most_anchors] for n, v in made.items()}
                 yield row("anchors", dim, int(piece["uids"][0]), **piece)
 
     def block(dim, ids, labels, v):
@@ -154,17 +158,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(ids % EVERY == 0)
         if len(at):
             floors = np.full(len(at), _NONE)
-            for k in range(0, len(at), CHUNK):
-                own = at[k:k + CHUNK]
+            for k in range(0, len(at), most_anchors):
+                own = at[k:k + most_anchors]
                 scores = _dot(v[own], v).astype(np.int64)
                 scores[labels[own][:, None] != labels] = _NONE
                 scores[np.arange(len(own)), own] = _NONE
                 if len(ids) > POSITIVES:
-                    floors[k:k + CHUNK] = np.partition(scores, -POSITIVES, axis=1)[:, -POSITIVES]
+                    floors[k:k + most_anchors] = np.partition(scores, -POSITIVES, axis=1)[:, -POSITIVES]
             anchors.append({"ids": ids[at], "labels": labels[at], "vectors": v[at], "uids": uids[at], "floors": floors})
-            if sum(len(a["ids"]) for a in anchors) >= CHUNK:
+            if sum(len(a["ids"]) for a in anchors) >= most_anchors:
                 yield from chunk(dim)
-        if len(zones) >= PAGE:
+        if len(zones) >= most_zones:
             yield from page(dim)
 
     def rows():
@@ -188,7 +192,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fresh[0] = last is None or last[0] != i[0] or last[1] != lab[0] or bool((last[2] != v[0]).any())
                 last = (i[-1], lab[-1], v[-1])
                 held.append((i[fresh], lab[fresh], v[fresh]))
-                most = max(64, BLOCK_BYTES // (4 * max(dim, 1)))
+                most = max(64, block_bytes // (4 * max(dim, 1)))
                 while sum(len(h[0]) for h in held) >= most:
                     whole = list(map(np.concatenate, zip(*held)))
                     yield from block(dim, *(w[:most] for w in whole))
@@ -207,15 +211,15 @@ _KINDS = pa.schema([("kind", pa.string()), ("dim", pa.int32()), ("block", pa.int
 _KINDS_DDL = "kind string, dim int, block long, " + ", ".join(f"{n} binary" for n in _BINARY)
 
 
-def index(rows: DataFrame) -> str:
+def index(rows: DataFrame, block_bytes: int = BLOCK_BYTES, chunk: int = CHUNK, page: int = PAGE) -> str:
     """Writes blocks, zone maps and anchors of (vec_id, label, embedding); the folder they are in."""
     spark = rows.sparkSession
     placed, size = along_curve(quantised(rows))
-    parts = max(1, -(-size // PART_BYTES), min(spark.sparkContext.defaultParallelism, -(-size // BLOCK_BYTES)))
+    parts = max(1, -(-size // PART_BYTES), min(spark.sparkContext.defaultParallelism, -(-size // block_bytes)))
     order = ["dim", "key", "vec_id"]
     placed = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order, "label", "q")
     folder = shared_folder(spark, "blocks")
-    in_batches(placed, _blocks, _KINDS_DDL).write.partitionBy("kind").parquet(folder)
+    in_batches(placed, _blocks(block_bytes, chunk, page), _KINDS_DDL).write.partitionBy("kind").parquet(folder)
     return folder
 
 
@@ -358,7 +362,7 @@ def _meet(folder: str, anchors: DataFrame, size: int, windows: bool, k: int) ->
     return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 
 
-def hard_negatives(rows: DataFrame) -> DataFrame:
+def hard_negatives(rows: DataFrame, block_bytes: int = BLOCK_BYTES, chunk: int = CHUNK, page: int = PAGE) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score from (vec_id, label, embedding).
 
     Anchors are rows whose id is divisible by ``EVERY``, positives an anchor's
@@ -376,7 +380,7 @@ def hard_negatives(rows: DataFrame) -> DataFrame:
       gives an empty result.
     """
     spark = rows.sparkSession
-    folder = index(rows)
+    folder = index(rows, block_bytes, chunk, page)
     anchors = _kind(spark, folder, "anchors").withColumnRenamed("block", "chunk").drop("lo", "hi")
     size = anchors.agg(F.sum(sum((F.octet_length(c) for c in _BINARY[:5]), F.lit(64)))).first()[0] or 0
     positives = stored(_meet(folder, anchors, size, False, POSITIVES).withColumn(
