@@ -11,15 +11,16 @@ then the word's other positions wait until the lower rank is done, so that
 each word sees its merges in exactly the order of a text encoded alone.
 
 Words are counted over the whole corpus. Those that make up at least 1 in
-``LEXICON`` of all occurrences (so at most that many) are replayed once, in
-hash partitions, and go to all tasks as a lexicon; the rest is replayed batch
-by batch where it occurs, by the same code. The lexicon saves work and
-decides nothing: results are the same without it.
+``LEXICON`` of it (so no more than a small multiple of that many) are replayed
+once, in hash partitions, and go to all tasks as a lexicon; the rest is
+replayed batch by batch where it occurs, by the same code. The lexicon saves
+work and decides nothing: results are the same without it.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections import Counter
@@ -33,14 +34,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwarden.llm.common import in_batches, text_key
+from cellwarden.llm.common import in_batches, stored, text_key
 
 LEXICON = 1 << 16
 WORD_BYTES = 64  # longer words are never kept
-KEPT = 300_000  # words, and chunks, kept per worker and generation
+KEPT = 250_000  # words, and chunks, kept per worker and generation
 REPLAY_BYTES = 1 << 20  # words replayed together; a longer word is alone
 GROUP_BYTES = 4 << 20  # characters of texts whose new words are replayed together
-COUNTED = 200_000  # distinct words counted in a task before they are handed on
+COUNTED = 500_000  # distinct chunks counted in a task before they are handed on
 
 _GLUED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -84,15 +85,31 @@ class Ranks:
         ranks, starts = np.unique(found[places], return_index=True)
         order, bounds = places.tolist(), [*starts.tolist(), len(places)]
         index = {r: order[bounds[k]:bounds[k + 1]] for k, r in enumerate(ranks.tolist())}
-        heap = list(index)  # ascending, so a heap
 
-        size, make, end = self.size, self.made.get, self.size - 1
-        token = np.append(self.byte, end)[data].tolist()
-        pair = [*found.tolist(), -1]  # the token a position makes with its right neighbour
-        after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
+        token = np.append(self.byte, self.size - 1)[data].tolist()
+        pair = [*found.tolist(), None]  # the token a position makes with its right neighbour
+        collects = gc.isenabled()
+        gc.disable()  # many small lists, no cycles
+        try:
+            self._merge(index, token, pair, ends)
+        finally:
+            if collects:
+                gc.enable()
+        at = 0
+        for i, stop in zip(rest, ends.tolist(), strict=True):
+            out[i] = [t for t in token[at:stop] if t >= 0]
+            at = stop + 1
+        return out
+
+    def _merge(self, index: dict[int, list[int]], token: list[int], pair: list, ends: np.ndarray) -> None:
+        """Applies all merges; ``index`` holds the positions of each rank, ``ends`` the words' end marks."""
+        heap = list(index)  # ascending, so a heap
+        size, make, get = self.size, self.made.get, index.get
+        # A word's end makes no token with anything; the last one also stands before the first word.
+        after, before = list(range(1, len(token) + 1)), [len(token) - 1, *range(len(token) - 1)]
         while heap:
             rank = heappop(heap)
-            stop, later = -1, []
+            stop, later, rank_first = -1, [], rank * size
             for p in sorted(index.pop(rank)):
                 if pair[p] != rank:
                     continue
@@ -100,36 +117,34 @@ class Ranks:
                     later.append(p)
                     continue
                 q = after[p]
-                token[p], token[q], pair[q] = rank, -1, -1
+                token[p], token[q], pair[q] = rank, -1, None
                 right = after[p] = after[q]
                 before[right] = p
-                with_right = pair[p] = make(rank * size + token[right], -1)
-                if with_right >= 0:
-                    if with_right in index:
-                        index[with_right].append(p)
+                low = False
+                made = pair[p] = make(rank_first + token[right])
+                if made is not None:
+                    low = made < rank
+                    places = get(made)
+                    if places is None:
+                        index[made] = [p]
+                        heappush(heap, made)
                     else:
-                        index[with_right] = [p]
-                        heappush(heap, with_right)
+                        places.append(p)
                 left = before[p]
-                with_left = -1
-                if left >= 0 and token[left] != end:
-                    with_left = pair[left] = make(token[left] * size + rank, -1)
-                    if with_left >= 0:
-                        if with_left in index:
-                            index[with_left].append(left)
-                        else:
-                            index[with_left] = [left]
-                            heappush(heap, with_left)
-                if 0 <= with_right < rank or 0 <= with_left < rank:  # the word's other positions wait for the lower rank
+                made = pair[left] = make(token[left] * size + rank)
+                if made is not None:
+                    low = low or made < rank
+                    places = get(made)
+                    if places is None:
+                        index[made] = [left]
+                        heappush(heap, made)
+                    else:
+                        places.append(left)
+                if low:  # the word's other positions wait for the lower rank
                     stop = int(ends[np.searchsorted(ends, p)])
             if later:
                 index[rank] = later
                 heappush(heap, rank)
-        at = 0
-        for i, stop in zip(rest, ends.tolist(), strict=True):
-            out[i] = [t for t in token[at:stop] if t >= 0]
-            at = stop + 1
-        return out
 
     def replayed(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """(word, ids) of many words, replayed in groups of bounded size."""
@@ -175,20 +190,28 @@ def chunks(text: str) -> tuple[list[str], list[str]]:
 
 
 def corpus_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word binary, n): occurrences of every pre-token of at most ``WORD_BYTES`` bytes in ``docs``(text)."""
+    """(word binary, n): frequent pre-tokens of at most ``WORD_BYTES`` bytes in ``docs``(text); null counts all chunks.
+
+    Every chunk of every text is counted. A chunk is handed on with its count
+    where it makes up 1 in ``LEXICON`` of what a task has counted at a time;
+    one that does so in the corpus does so somewhere.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, bare, spaced = regex.compile(pattern).findall, Counter(), Counter()
 
         def rows():
+            total = sum(bare.values()) + sum(spaced.values())
             seen: Counter = Counter()
             for counted, space in ((bare, ""), (spaced, " ")):
                 for chunk, n in counted.items():
-                    for w in find(space + chunk):
-                        seen[w] += n
+                    if n * LEXICON >= total and len(chunk) <= WORD_BYTES:
+                        for w in find(space + chunk):
+                            seen[w] += n
                 counted.clear()
             kept = [(e, n) for w, n in seen.items() if len(e := w.encode("utf-8", "surrogatepass")) <= WORD_BYTES]
             return pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+                [pa.array([None, *(w for w, _ in kept)], pa.binary()), pa.array([total, *(n for _, n in kept)], pa.int64())],
+                names=["word", "n"])
 
         for batch in batches:
             for text in batch.column("text"):
@@ -217,10 +240,9 @@ def replay_words(words: DataFrame, ranks: str) -> DataFrame:
 
 def lexicon(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """(word, ids) of the at most ``LEXICON`` words that make up 1 in ``LEXICON`` of the corpus each."""
-    words = corpus_words(docs, pattern)
-    total = words.agg(F.sum("n").alias("total"))
-    frequent = words.join(F.broadcast(total), F.col("n") * LEXICON >= F.col("total")).select("word")
-    return replay_words(frequent, ranks)
+    words = stored(corpus_words(docs, pattern), "words")
+    total = words.filter("word is null").agg(F.sum("n")).first()[0] or 0
+    return replay_words(words.filter(F.col("word").isNotNull() & (F.col("n") * LEXICON >= total)), ranks)
 
 
 class Table(dict):
