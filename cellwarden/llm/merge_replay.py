@@ -38,7 +38,7 @@ from cellwarden.llm.common import in_batches, stored, text_key
 
 LEXICON = 1 << 16
 WORD_BYTES = 64  # longer words are never kept
-KEPT = 250_000  # words, and chunks, kept per worker and generation
+KEPT = 400_000  # words, and chunks, kept per worker and generation
 REPLAY_BYTES = 1 << 20  # words replayed together; a longer word is alone
 GROUP_BYTES = 4 << 20  # characters of texts whose new words are replayed together
 COUNTED = 500_000  # distinct chunks counted in a task before they are handed on
@@ -88,13 +88,7 @@ class Ranks:
 
         token = np.append(self.byte, self.size - 1)[data].tolist()
         pair = [*found.tolist(), None]  # the token a position makes with its right neighbour
-        collects = gc.isenabled()
-        gc.disable()  # many small lists, no cycles
-        try:
-            self._merge(index, token, pair, ends)
-        finally:
-            if collects:
-                gc.enable()
+        self._merge(index, token, pair, ends)
         at = 0
         for i, stop in zip(rest, ends.tolist(), strict=True):
             out[i] = [t for t in token[at:stop] if t >= 0]
@@ -312,7 +306,13 @@ class Encoder:
         for k, (table, space) in enumerate(((self.bare, ""), (self.spaced, " "))):
             new = set().union(*(both[k] for both in cut)).difference(table, table.old)
             wanted.append((table, space, list(new)))
-        self.learn(wanted)
+        collects = gc.isenabled()
+        gc.disable()  # many small objects, no cycles
+        try:
+            self.learn(wanted)
+        finally:
+            if collects:
+                gc.enable()
         for first, others in cut:
             yield [*map(self.bare.__getitem__, first), *map(self.spaced.__getitem__, others)]
         for table, _, new in wanted:
