@@ -207,16 +207,20 @@ def met_by_copies(single: DataFrame, repeated: DataFrame) -> DataFrame:
     """
     low = F.lower("canonical")
     first = F.min(F.struct("canonical_row", "canonical", "canonical_count"))
+    # Copies are made only for pairs of lengths that occur, a few rows per column.
+    text = F.lower("value")
+    lengths = single.groupBy("column", F.length(text).alias("n"), "len").agg(F.lit(1).alias("_"))
+    lengths = lengths.join(repeated.select("column", "len").distinct(), ["column", "len"]).where(
+        _by_copies(F.col("n"), F.col("len"))).select("column", "n", "len")
     right = (
         repeated.groupBy("column", low.alias("low")).agg(first.alias("m"))  # of texts alike but for case the first
-        .select("column", "low", "m.*", F.length("low").alias("len"), F.explode(similar_lengths(F.col("low"))).alias("n"))
-        .withColumn("n", F.col("n").cast("int")).where(_by_copies(F.col("n"), F.col("len")))
+        .select("column", "low", "m.*", F.length("low").alias("len"))
+        .join(F.broadcast(lengths), ["column", "len"])
         .select("*", F.explode(leftovers(F.col("low"), _left_out(F.col("len"), F.col("n")))).alias("rest")))
     order = F.row_number().over(Window.partitionBy("column", "n", "len", "rest").orderBy("canonical_row"))
     right = right.withColumn("place", order).where("place <= 2").drop("place")
-    text = F.lower("value")
     left = (
-        single.withColumn("n", F.length(text)).where(_by_copies(F.col("n"), F.col("len")))
+        single.withColumn("n", F.length(text)).join(F.broadcast(lengths), ["column", "n", "len"])
         .select("column", "value", "row_id", "n", "len",
                 F.explode(leftovers(text, _left_out(F.col("n"), F.col("len")))).alias("rest")))
     met = left.join(right, ["column", "n", "len", "rest"]).where(F.lower("value") != F.col("low"))
