@@ -227,8 +227,8 @@ def met_by_copies(single: DataFrame, repeated: DataFrame) -> DataFrame:
     return met.groupBy("column", "row_id", "value").agg(first.alias("m")).select("column", "value", "row_id", "m.*")
 
 
-def blocked_pairs(single: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Pairs of longer texts that can reach the threshold, met on a shared piece.
+def blocked_pairs(single: DataFrame, repeated: DataFrame, longer_only: bool = False) -> DataFrame:
+    """Pairs that can reach the threshold, met on a shared piece; ``longer_only``: those ``met_by_copies`` leaves.
 
     With fewer edits than pieces one piece of the repeated text survives. Edits
     before it move it, edits behind it must make up the difference of lengths,
@@ -237,7 +237,9 @@ def blocked_pairs(single: DataFrame, repeated: DataFrame) -> DataFrame:
     never meet.
     """
     n = F.length(F.lower(F.col("value")))
-    single = single.where((F.col("len") > 0) & _left_out(n, F.col("len")).isNotNull() & ~_by_copies(n, F.col("len")))
+    single = single.where("len > 0")
+    if longer_only:
+        single = single.where(_left_out(n, F.col("len")).isNotNull() & ~_by_copies(n, F.col("len")))
     low = F.lower(F.col("canonical"))
     right = repeated.where("len > 0").select(
         "*", F.explode(_cuts(F.col("len"))).alias("cut")).select(
@@ -293,8 +295,8 @@ def near_duplicates(df: DataFrame, stats: TableStats, safe_columns=None,
         # A value becomes many rows, so few bytes are much work: not to be coalesced into few tasks.
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         sides = [side.where(~few).repartition(parts) for side in (single, repeated)]
-        for meet in (met_by_copies, blocked_pairs):
-            pairs = pairs.unionByName(meet(*sides).select(*pairs.columns))
+        for met in (met_by_copies(*sides), blocked_pairs(*sides, longer_only=True)):
+            pairs = pairs.unionByName(met.select(*pairs.columns))
     longest = max(stats.columns[c].max_length for c in names)
     close = with_similarity(pairs, "value", "canonical", longest).where(
         (F.col("ratio") >= C.SIMILARITY_MIN) & (F.col("ratio") < 1.0))
