@@ -6,10 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellwarden.sources.quoted import quoted_rows
+
 # --- Fixed values: readable formats by suffix ------------------------------
 SEPARATORS = {".csv": ",", ".tsv": "\t"}
 PARQUET_SUFFIXES = (".parquet", ".pq")
 
+# --- Fixed values: wording of load warnings --------------------------------
+W_EMPTY = "Dataset is empty (0 rows)"
+W_FEW_COLUMNS = "Dataset has fewer than 2 columns — possible delimiter issue"
+W_REPEATED_NAMES = "Duplicate column names detected"
+
 
 def suffix_of(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1]
@@ -44,7 +51,7 @@ def column_types(lines: DataFrame, names: list[str]) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8",
-             keep_leading_zeros: bool = False, line_breaks: bool = True) -> DataFrame:
+             keep_leading_zeros: bool = False, line_breaks: bool = True, splittable: bool = False) -> DataFrame:
     """A delimited file or folder with a header row.
 
     All columns are read as text first and typed by one aggregate, so the
@@ -54,8 +61,13 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8",
 
     Quotes are doubled inside quoted fields, and fields may hold line breaks;
     a file is then read by one task. ``line_breaks=False`` lets Spark split
-    large files that have none. Repeated header names are numbered.
+    large files that have none, ``splittable=True`` those that have some: in
+    UTF-8, with quotes only around whole fields and doubled inside them, since
+    a stray quote would move the borders of all records behind it. Rows then
+    come in no fixed order. Repeated header names are numbered.
     """
+    if splittable and encoding.upper() not in ("UTF-8", "UTF8"):
+        raise ValueError("splittable files are read as UTF-8")
     options = dict(
         sep=SEPARATORS.get(suffix_of(path), ","), encoding=encoding, escape='"', multiLine=line_breaks,
         mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, inferSchema=False,
@@ -63,6 +75,9 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8",
     names = header_names(spark, path, options)
     if not names:
         return spark.read.csv(path, header=True, **options)
+    if splittable:
+        names[-1] = names[-1].removesuffix("\r")  # the line ends of the first line may not be told from its fields' breaks
+        return typed(quoted_rows(spark, path, unique_names(names), options), keep_leading_zeros)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in unique_names(names)])
     raw = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, **options)
     return typed(raw, keep_leading_zeros)
@@ -106,11 +121,11 @@ def warnings(df: DataFrame, header: list[str] | None = None) -> list[str]:
     """What looks wrong with a freshly read table."""
     out = []
     if df.isEmpty():
-        out.append("Dataset is empty (0 rows)")
+        out.append(W_EMPTY)
     if len(df.columns) < 2:
-        out.append("Dataset has fewer than 2 columns — possible delimiter issue")
+        out.append(W_FEW_COLUMNS)
     if header is not None and len(set(header)) < len(header):
-        out.append("Duplicate column names detected")
+        out.append(W_REPEATED_NAMES)
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cellwarden import constants as C
@@ -17,6 +18,7 @@ from workload.context import scratch, table
 from workload.registry import query
 
 PART_COLUMNS = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice"
+CSV_ROWS = 100_000  # in a file of the quoted example
 
 
 @query("io1_csv_scan", f"SELECT {PART_COLUMNS} FROM part")
@@ -32,10 +34,13 @@ def _quoted_csv(spark, d):
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(",", F.col("doc_id").cast("string"), F.coalesce(quoted("text"), F.lit("")),
                        F.coalesce(quoted("lang"), F.lit("")))
-    for i in range(4):  # one header for each file
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == i).select(F.lit(1).alias("k"), line.alias("value"))
-        head = spark.range(1).select(F.lit(0).alias("k"), F.lit("doc_id,text,text").alias("value"))
-        head.union(part).coalesce(1).sortWithinPartitions("k").select("value").write.mode("append").text(path)
+
+    def with_header(batches):  # one for each file
+        yield pa.RecordBatch.from_pydict({"value": ["doc_id,text,text"]})
+        yield from batches
+
+    pieces = max(4, spark.sparkContext.defaultParallelism, -(-docs.count() // CSV_ROWS))
+    docs.select(line.alias("value")).repartition(pieces).mapInArrow(with_header, "value string").write.text(path)
     return path
 
 
@@ -46,6 +51,14 @@ def io1b(spark, d):
                      F.length("text").cast("bigint").alias("n_chars"), F.col("text_1").alias("lang"))
 
 
+@query("io1c_quoted_csv_split", """SELECT doc_id, md5(text) AS text_md5, length(text) AS n_chars, lang FROM documents""")
+def io1c(spark, d):
+    """The same files, each in as many tasks as it has splits."""
+    df = files.read_csv(spark, _quoted_csv(spark, d), splittable=True)
+    return df.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"),
+                     F.length("text").cast("bigint").alias("n_chars"), F.col("text_1").alias("lang"))
+
+
 @query("io5_load_warnings", """SELECT CASE WHEN count(*) > 0 THEN 'Duplicate column names detected' END AS warning,
  count(*) AS n_rows FROM documents HAVING count(*) > 0
 UNION ALL SELECT 'Dataset is empty (0 rows)', count(*) FROM documents HAVING count(*) = 0""")
