@@ -14,28 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwarden.llm import bpe, decontaminate, neardup, quality_fm, secret_scan
-from cellwarden.llm.common import keep_rows, shared_folder, stored
+from cellwarden.llm.common import keep_rows, shared_folder, stored, unused
 from cellwarden.llm.queries import VOCABULARY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a score of at least 0.5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_fm.scored(docs, quality_fm.fit(docs, labels)).filter("k_score >= 0.5").drop("k_score")
+    score = unused("k_score", docs)
+    return quality_fm.scored(docs, quality_fm.fit(docs, labels), score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group; a document without words stands alone."""
     # Ids may repeat or be null, so kept can mark several texts of a group: the least (id, hash) of them stays.
-    found = neardup.grouped(docs).filter("kept").groupBy("component", "doc_id", "hash").agg(F.count("*").alias("k_rows"))
-    row = F.struct(F.col("doc_id").alias("k_id"), F.col("hash").alias("k_hash"), "k_rows")
+    k_id, k_hash, k_rows = (unused(c, docs) for c in ("k_id", "k_hash", "k_rows"))
+    found = neardup.grouped(docs).filter("kept").groupBy("component", "doc_id", "hash").agg(F.count("*").alias(k_rows))
+    row = F.struct(F.col("doc_id").alias(k_id), F.col("hash").alias(k_hash), k_rows)
     of_group = found.filter("component is not null").groupBy("component").agg(F.min(row).alias("k")).select("k.*")
     chosen = stored(of_group.union(found.filter("component is null").select(row.alias("k")).select("k.*")), "chosen")
-    on = docs["doc_id"].eqNullSafe(chosen["k_id"]) & (F.xxhash64(docs["text"]) == chosen["k_hash"])
+    on = docs["doc_id"].eqNullSafe(chosen[k_id]) & (F.xxhash64(docs["text"]) == chosen[k_hash])
     rows = docs.join(chosen, on)
-    if not chosen.filter("k_rows > 1").isEmpty():  # repeated rows: only they need the shuffle
-        rows = rows.filter("k_rows = 1").union(rows.filter("k_rows > 1").dropDuplicates(["k_id", "k_hash"]))
-    return rows.drop("k_id", "k_hash", "k_rows")
+    if not chosen.filter(F.col(k_rows) > 1).isEmpty():  # repeated rows: only they need the shuffle
+        rows = rows.filter(F.col(k_rows) == 1).union(rows.filter(F.col(k_rows) > 1).dropDuplicates([k_id, k_hash]))
+    return rows.drop(k_id, k_hash, k_rows)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
