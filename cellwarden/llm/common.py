@@ -59,6 +59,14 @@ def in_batches(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, lengthened until no column of ``tables`` has it, in whatever case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_key(text: Column) -> Column:
     """With the id it names a row; rows equal in both are the same document."""
     return F.xxhash64(text)

@@ -8,6 +8,10 @@ term in the test item: equal shifts mean that document and item run in step.
 Shifts met by enough of the anchors are read out in full against the
 document's words, and runs of equal words that hold a whole window are hits.
 
+The same postings answer proximity: an item is near where its rarest terms lie
+close together and a span little longer than the item holds all its words, in
+any order, so passages with words put in, moved or repeated are found.
+
 Everything is DataFrame functions. Terms travel as 64-bit hashes; the final
 comparison is made on the words themselves.
 """
@@ -22,6 +26,7 @@ from cellwarden.llm.common import small, stored, text_key
 
 WINDOW = 10
 RAREST = 3
+SLACK = 5  # a proximity match may be longer than its item by a word for every so many
 # All that is not a digit, a letter or beyond ASCII parts words.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,7 +72,7 @@ def corpus_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def anchors(test_words: DataFrame, counts: DataFrame, window: int, rarest: int) -> DataFrame:
-    """(item_id, copy, place, term): the words among the ``rarest`` of some window of their item.
+    """(item_id, copy, place, term, freq): the words among the ``rarest`` of some window of their item.
 
     A word is ranked inside each window that holds it, ties by place.
     """
@@ -77,7 +82,7 @@ def anchors(test_words: DataFrame, counts: DataFrame, window: int, rarest: int)
         F.greatest(F.lit(0), F.least(F.col("place"), F.col("n") - window)))))
     rank = F.row_number().over(Window.partitionBy("item_id", "copy", "start").orderBy("freq", "place"))
     return (starts.withColumn("rank", rank).filter(F.col("rank") <= rarest)
-            .select("item_id", "copy", "place", "term").distinct())
+            .select("item_id", "copy", "place", "term", "freq").distinct())
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -97,18 +102,26 @@ def aligned(index: DataFrame, chosen: DataFrame, test_sizes: DataFrame, rarest:
             .filter(F.col("met") >= F.least(F.lit(rarest), F.col("n"))).drop("met", "n"))
 
 
-def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
+class Search:
+    """What both searches read: the items' words and sizes, their anchors, and the stored postings of the anchors."""
+
+    def __init__(self, docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST):
+        test = stored(item_words(items).withColumn("term", F.xxhash64("word")), "test_words")
+        self.docs, self.test, self.window, self.rarest = docs, test, window, rarest
+        self.sizes = test.groupBy("item_id", "copy").agg(F.max("n").alias("n"))
+        counts = corpus_counts(docs, test.select("term").distinct())
+        self.anchors = stored(anchors(test, counts, window, rarest), "anchors")
+        self.index = postings(docs, self.anchors)
+
+
+def phrase_hits(search: Search) -> DataFrame:
     """(doc_id, hash, item_id, from, to): runs of words that hold a whole window of an item.
 
-    docs (doc_id, text), items (item_id, text). ``to`` is exclusive; positions
-    are those of ``tokens``. Items of fewer words than ``window``, but not
-    none, are one window.
+    ``to`` is exclusive; positions are those of ``tokens``. Items of fewer
+    words than the window, but not none, are one window.
     """
-    test = item_words(items).withColumn("term", F.xxhash64("word"))
-    test = stored(test, "test_words")
-    sizes = test.groupBy("item_id", "copy").agg(F.max("n").alias("n"))
-    chosen = stored(anchors(test, corpus_counts(docs, test.select("term").distinct()), window, rarest), "anchors")
-    found = aligned(postings(docs, chosen), chosen, sizes, rarest)
+    docs, test, window, rarest = search.docs, search.test, search.window, search.rarest
+    found = aligned(search.index, search.anchors, search.sizes, rarest)
 
     full = docs.select(F.col("doc_id").alias("d"), text_key(F.col("text")).alias("h"), F.col("text"))
     texts = test.groupBy("item_id", "copy").agg(
@@ -142,6 +155,12 @@ def covered(hits: DataFrame) -> DataFrame:
             .agg(F.sum("fresh").cast("long").alias("n_hit"), items.alias("items")))
 
 
+def plain(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with just the columns searched."""
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
+            items.select("item_id", F.col("text").cast("string").alias("text")))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
     """doc_id, hash, n_words, n_hit, n_items, items, contaminated for each row of ``docs``.
 
@@ -152,9 +171,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, rares
     * Several texts under one item_id are all searched as that item.
     * An empty table on either side gives no hits; extra columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.select("item_id", F.col("text").cast("string").alias("text"))
-    hits = covered(phrase_hits(docs, items, window, rarest))
+    docs, items = plain(docs, items)
+    return answered(Search(docs, items, window, rarest))
+
+
+def answered(search: Search) -> DataFrame:
+    """The result of ``decontaminate`` from a search at hand."""
+    docs = search.docs
+    hits = covered(phrase_hits(search))
     hits = hits.select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "n_hit", "items")
     # The hash of the text lets a null id and a reused id find their own row.
     rows = docs.select("doc_id", text_key(F.col("text")).alias("hash"), word_count(words(F.col("text"))).alias("n_words"))
@@ -164,6 +188,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, rares
                       found.alias("items"), (n_hit > 0).alias("contaminated"))
 
 
+def _spans(seen: DataFrame, of: list[str], rarest: int) -> DataFrame:
+    """Columns ``of``, need, from, to: for each posting the shortest span that ends there and holds all the ``need`` slots."""
+    line = Window.partitionBy(*of).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    slots = range(1, rarest + 1)
+    last = [F.last(F.when(F.col("slot") == i, F.col("pos")), ignorenulls=True).over(line).alias(f"at_{i}") for i in slots]
+    met = sum((F.col(f"at_{i}").isNotNull().cast("int") for i in slots), F.lit(0))
+    start = F.array_min(F.array(*[f"at_{i}" for i in slots]))
+    rest = [c for c in seen.columns if c not in (*of, "pos", "slot", "term")]
+    return (seen.select(*of, "pos", *rest, *last).filter(met == F.col("need"))
+            .select(*of, *rest, start.alias("from"), (F.col("pos") + 1).alias("to")))
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, rarest: int = RAREST) -> DataFrame:
     """(doc_id, hash, item_id, from, to): spans of at most ``slop`` words with an item's ``rarest`` distinct terms in any order.
 
@@ -177,11 +213,57 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, rarest: int
     terms = stored(ranked.withColumn("slot", rank).filter(F.col("slot") <= rarest).select("item_id", "term", "slot"), "terms")
     need = terms.groupBy("item_id").agg(F.max("slot").alias("need"))
     seen = postings(docs, terms).distinct().join(small(terms), "term").join(small(need), "item_id")
-    line = Window.partitionBy("doc_id", "hash", "item_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.last(F.when(F.col("slot") == i, F.col("pos")), ignorenulls=True).over(line).alias(f"at_{i}")
-            for i in range(1, rarest + 1)]
-    spans = seen.select("doc_id", "hash", "item_id", "pos", "need", *last)
-    start = F.array_min(F.array(*[f"at_{i}" for i in range(1, rarest + 1)]))
-    met = sum((F.col(f"at_{i}").isNotNull().cast("int") for i in range(1, rarest + 1)), F.lit(0))
-    return (spans.filter((met == F.col("need")) & (F.col("pos") - start < slop))
-            .select("doc_id", "hash", "item_id", start.alias("from"), (F.col("pos") + 1).alias("to")))
+    spans = _spans(seen, ["doc_id", "hash", "item_id"], rarest)
+    return spans.filter(F.col("to") - F.col("from") <= slop).select("doc_id", "hash", "item_id", "from", "to")
+
+
+def near_matches(search: Search, slack: int = SLACK) -> DataFrame:
+    """(doc_id, hash, item_id, from, to): spans of a document that hold all distinct words of an item.
+
+    A span may have n + max(1, n / ``slack``) words for an item of n. The
+    rarest anchors of the item, found close together, propose it from the
+    postings of the phrase search; the document's words around them confirm
+    that some span of that length holds every word of the item. ``from`` and
+    ``to`` are those of the anchors. No anchor, no match is lost: the anchors
+    are words of the item too.
+    """
+    by_item = Window.partitionBy("item_id", "copy")
+    terms = search.anchors.groupBy("item_id", "copy", "term").agg(F.min("freq").alias("freq"), F.min("place").alias("place"))
+    terms = terms.withColumn("slot", F.row_number().over(by_item.orderBy("freq", "place"))).filter(F.col("slot") <= search.rarest)
+    terms = terms.withColumn("need", F.max("slot").over(by_item)).join(search.sizes, ["item_id", "copy"])
+    most = F.col("n") + F.greatest(F.lit(1), F.floor(F.col("n") / slack).cast("int"))
+    terms = stored(terms.select("item_id", "copy", "term", "slot", "need", most.alias("most")), "slots")
+    of = ["doc_id", "hash", "item_id", "copy"]
+    spans = _spans(search.index.join(small(terms), "term"), of, search.rarest).filter(F.col("to") - F.col("from") <= F.col("most"))
+    # All spans of an item in one document: at most one for each of its words.
+    spans = spans.groupBy(*of, "most").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    wanted = search.test.groupBy("item_id", "copy").agg(F.collect_set("word").alias("wanted"))
+    full = search.docs.select(F.col("doc_id").alias("d"), text_key(F.col("text")).alias("h"), "text").dropDuplicates(["d", "h"])
+    read = spans.join(small(wanted), ["item_id", "copy"])
+    read = read.join(full, read["doc_id"].eqNullSafe(full["d"]) & (read["hash"] == full["h"]))
+
+    def holds(span: Column) -> Column:
+        low = F.greatest(F.lit(0), span["to"] - F.col("most"))
+        near = F.transform(F.slice(F.col("parts"), low + 1, span["from"] + F.col("most") - low), _lower)
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(near) - F.col("most") + 1))
+        return F.exists(starts, lambda s: F.size(F.array_except("wanted", F.slice(near, s, F.col("most")))) == 0)
+
+    held = F.explode(F.filter("spans", holds)).alias("span")
+    return read.withColumn("parts", words(F.col("text"))).select("doc_id", "hash", "item_id", held).select(
+        "doc_id", "hash", "item_id", "span.from", "span.to")
+
+
+def searched(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST, slack: int = SLACK) -> DataFrame:
+    """``decontaminate`` with near_items as well: the ids, as sorted strings, of the items near in each row.
+
+    Nulls, empty texts, repeated rows and empty tables as there; an item with
+    a null id is in no list. ``contaminated`` follows the exact windows alone.
+    """
+    search = Search(*plain(docs, items), window, rarest)
+    near = near_matches(search, slack).groupBy("doc_id", "hash").agg(
+        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("near_items"))
+    near = near.select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "near_items")
+    out = answered(search)
+    none = F.array().cast("array<string>")
+    return (out.join(near, out["doc_id"].eqNullSafe(near["d"]) & (out["hash"] == near["h"]), "left")
+            .select(*[out[c] for c in out.columns], F.coalesce("near_items", none).alias("near_items")))

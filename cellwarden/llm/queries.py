@@ -46,17 +46,29 @@ dw AS (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS g FROM ds),
 hit AS (SELECT doc_id, item_id, s, k FROM dw JOIN bw USING (k, g)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hit) GROUP BY doc_id),
 its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
-  string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+  string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id),
+bt AS (SELECT item_id, len(w) + greatest(1, len(w) // 5) AS most, len(list_distinct(w)) AS need, unnest(list_distinct(w)) AS word FROM b WHERE len(w) > 0),
+dt AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+seen AS (SELECT doc_id, item_id, most, need, word, p FROM dt JOIN bt USING (word)
+  QUALIFY count(DISTINCT word) OVER (PARTITION BY doc_id, item_id) = need),
+spans AS (SELECT x.doc_id, x.item_id, x.p FROM seen x JOIN seen y
+  ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND y.p <= x.p AND y.p > x.p - x.most
+  GROUP BY x.doc_id, x.item_id, x.p, x.need HAVING count(DISTINCT y.word) = x.need),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS near_ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM spans) GROUP BY doc_id)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near, coalesce(near_ids, '') AS near_items
+FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)
 """)
 def op2_decontamination(spark, sf_dir):
-    from cellwarden.llm.decontaminate import decontaminate
+    """Exact windows, and in n_near and near_items the items all of whose words lie close together."""
+    from cellwarden.llm.decontaminate import searched
 
-    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = searched(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
-                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+                        F.size("near_items").cast("long").alias("n_near"), F.array_join("near_items", ",").alias("near_items"))
 
 
 @query()

@@ -223,12 +223,12 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] =
               .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("k_spans"))
               .select(F.col("doc_id").alias("k_id"), F.col("hash").alias("k_hash"), "k_spans"))
     out = docs.join(merged, docs["doc_id"].eqNullSafe(merged["k_id"]) & (text_key(docs["text"]) == merged["k_hash"]), "left")
-    text = docs["text"]
-    starts = F.concat(F.col("k_spans.start"), F.array(F.length(text).cast("long")))
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.col("k_spans.end"))
+    text, spans = docs["text"], merged["k_spans"]  # of their own tables: ``docs`` may have columns of these names
+    starts = F.concat(spans["start"], F.array(F.length(text).cast("long")))
+    ends = F.concat(F.array(F.lit(0).cast("long")), spans["end"])
     pieces = F.zip_with(ends, starts, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
-    fresh = F.when(F.col("k_spans").isNull(), text).otherwise(F.array_join(pieces, mark))
+    fresh = F.when(spans.isNull(), text).otherwise(F.array_join(pieces, mark))
     keep = [(fresh if c == "text" else
-             F.when(F.col("k_spans").isNull(), docs[c]).otherwise(F.length(fresh)).cast(docs.schema[c].dataType)
+             F.when(spans.isNull(), docs[c]).otherwise(F.length(fresh)).cast(docs.schema[c].dataType)
              if c == "n_chars" else docs[c]).alias(c) for c in docs.columns]
     return out.select(*keep)

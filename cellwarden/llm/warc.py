@@ -5,21 +5,24 @@
 reads the archives back, sorts one line per capture by its reversed-host URL
 key into compressed blocks and keeps the first key of every block in a sparse
 directory. ``lookup`` binary-searches directory and blocks for captures;
-``read_ranges`` reads just their bytes.
+``read_ranges`` opens the archives at their offsets and reads just their bytes.
 
-All files go through Spark's readers and writers, so any store will do. The
-archives are plain WARC 1.1 text: payloads are UTF-8 and every record ends in
-two line breaks, which is the writer's line separator.
+Archives are written by Spark as plain WARC 1.1 text: payloads are UTF-8 and
+every record ends in two line breaks, which is the writer's line separator.
+Tasks open them through Arrow's file systems (files, HDFS, S3, GCS, ABFS);
+the folder that all executors share has to be in one of those.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import urllib.parse
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,9 @@ SALTS = 8  # tasks that share one segment of the directory
 # Payloads up to so many bytes, and how many of them go to one file: no file beyond 512 MB.
 _CLASSES = ((1 << 16, 8000), (1 << 21, 250), (1 << 31, 1))
 _END = "\r\n\r\n"
+HEAD_BYTES = 64 << 10  # read at once while walking from head to head
+OUT_BYTES = 4 << 20  # payloads in one batch of results; a longer one is a batch of its own
+SPAN = 32 << 20  # ranges of one file within so many bytes go to one task
 
 
 def surt(url: Column) -> Column:
@@ -96,44 +102,71 @@ def write(pages: DataFrame, folder: str) -> None:
         least = most
 
 
-def _head(data: bytes, at: int) -> tuple[dict[bytes, bytes], int]:
+def opened(path: str):
+    """A file that can be read at any offset, from a path as Spark names it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
+    system, name = fs.FileSystem.from_uri(urllib.parse.quote(path, safe="/:@"))
+    return system.open_input_file(urllib.parse.unquote(name))
+
+
+def _head(data: bytes, at: int = 0) -> tuple[dict[bytes, bytes], int]:
     """Header fields of the record at ``at`` and where its block starts."""
     end = data.index(b"\r\n\r\n", at)
     fields = dict(x.split(b": ", 1) for x in data[at:end].split(b"\r\n")[1:])
     return fields, end + 4
 
 
+def _heads(source) -> Iterator[tuple[dict[bytes, bytes], int, int]]:
+    """(fields, offset, length) of every record; blocks are skipped, so little more than the heads is read."""
+    size, at, base, data = source.size(), 0, 0, b""
+    while at < size:
+        more = HEAD_BYTES
+        while not base <= at < base + len(data) or data.find(b"\r\n\r\n", at - base) < 0:
+            if at == base and base + len(data) >= size:
+                raise ValueError(f"a record without an end of its head at byte {at}")
+            base, data = at, source.read_at(more, at)
+            more *= 2
+        fields, start = _head(data, at - base)
+        end = base + start + int(fields[b"Content-Length"])
+        yield fields, at, end - at
+        at = end + len(_END)
+
+
 def _page(value: bytes | None) -> int | None:
     return int(value[len(b"<urn:page:"):-1]) if value else None
 
 
 def captures(folder: str, spark) -> DataFrame:
-    """(url, page_id, path, offset, length) of every record, from a walk over the archives."""
+    """(url, page_id, path, offset, length) of every record, from a walk over the archives' heads."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(path, found):
+            urls = [f.get(b"WARC-Target-URI") for f, _, _ in found]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([None if u is None else u.decode("utf-8", "replace") for u in urls], pa.string()),
+                 pa.array([_page(f.get(b"WARC-Record-ID")) for f, _, _ in found], pa.int64()),
+                 pa.array([path] * len(found), pa.string()), pa.array([x[1] for x in found], pa.int64()),
+                 pa.array([x[2] for x in found], pa.int64())],
+                names=["url", "page_id", "path", "offset", "length"])
+
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data, at = content.as_buffer().to_pybytes(), 0
-                urls, ids, offsets, lengths = [], [], [], []
-                while at < len(data):
-                    fields, start = _head(data, at)
-                    end = start + int(fields[b"Content-Length"])
-                    url = fields.get(b"WARC-Target-URI")
-                    urls.append(None if url is None else url.decode("utf-8", "replace"))
-                    ids.append(_page(fields.get(b"WARC-Record-ID")))
-                    offsets.append(at)
-                    lengths.append(end - at)
-                    at = end + len(_END)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(urls, pa.string()), pa.array(ids, pa.int64()), pa.array([path] * len(ids), pa.string()),
-                     pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
-                    names=["url", "page_id", "path", "offset", "length"])
+            for path in batch.column("path").to_pylist():
+                found = []
+                with opened(path) as source:
+                    for x in _heads(source):
+                        found.append(x)
+                        if len(found) == 1000:
+                            yield rows(path, found)
+                            found = []
+                yield rows(path, found)
 
     return archives(folder, spark).mapInArrow(run, "url string, page_id long, path string, offset long, length long")
 
 
 def archives(folder: str, spark) -> DataFrame:
+    """(path): the archives that hold anything; their contents are not read."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
-            .load(folder).select("path", "content").filter("length(content) > 0"))
+            .load(folder).filter("length > 0").select("path"))
 
 
 def sort_key(url: Column, page_id: Column) -> Column:
@@ -251,37 +284,49 @@ def lookup(keys: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.mapInArrow(search, "key string, path string, offset long, length long")
 
 
-def read_ranges(places: DataFrame, folder: str) -> DataFrame:
-    """page_id, url, record_type, refers_to, digest (as recorded), payload_bytes and payload of the records at ``places``."""
-    ranges = places.select("path", F.struct("offset", "length").alias("at")).distinct().groupBy("path").agg(
-        F.sort_array(F.collect_list("at")).alias("ranges"))  # bounded by the records of one file
-    rows = archives(folder, places.sparkSession).join(small(stored(ranges, "ranges")), "path")
+def read_ranges(places: DataFrame) -> DataFrame:
+    """page_id, url, record_type, refers_to, digest (as recorded), payload_bytes and payload of the records at ``places``.
+
+    Ranges near one another in a file go to one task in the order of their
+    offsets; every range is one read, and no other byte is.
+    """
+    near = places.select("path", "offset", "length").distinct().withColumn("span", F.floor(F.col("offset") / SPAN))
+    rows = near.repartition("path", "span").sortWithinPartitions("path", "offset").select("path", "offset", "length")
+    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+    names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
+
+    def row(record: bytes) -> tuple:
+        fields, start = _head(record)
+        http_end = record.index(b"\r\n\r\n", start) + 4
+        size = int(record[start:http_end].rsplit(b"Content-Length: ", 1)[1])
+        url, kind = fields.get(b"WARC-Target-URI"), fields[b"WARC-Type"].decode()
+        payload, digest = record[http_end:], fields[b"WARC-Payload-Digest"][5:].decode()
+        if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
+            raise ValueError(f"payload of {fields} differs from its digest")
+        return (_page(fields.get(b"WARC-Record-ID")), None if url is None else url.decode("utf-8", "replace"), kind,
+                _page(fields.get(b"WARC-Refers-To")), digest, size, payload if kind == "response" else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flush = lambda out: pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
+        path, source = None, None
         for batch in batches:
-            for content, ranges in zip(batch.column("content"), batch.column("ranges").to_pylist(), strict=True):
-                data = content.as_buffer()
-                for i in range(0, len(ranges), 256):
-                    out = []
-                    for at in ranges[i:i + 256]:
-                        record = data.slice(at["offset"], at["length"]).to_pybytes()
-                        fields, start = _head(record, 0)
-                        http_end = record.index(b"\r\n\r\n", start) + 4
-                        size = int(record[start:http_end].rsplit(b"Content-Length: ", 1)[1])
-                        url = fields.get(b"WARC-Target-URI")
-                        payload = record[http_end:]
-                        kind = fields[b"WARC-Type"].decode()
-                        digest = fields[b"WARC-Payload-Digest"][5:].decode()
-                        if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                            raise ValueError(f"payload of {fields} differs from its digest")
-                        out.append((_page(fields.get(b"WARC-Record-ID")), None if url is None else url.decode("utf-8", "replace"),
-                                    kind, _page(fields.get(b"WARC-Refers-To")), digest, size, payload if kind == "response" else None))
-                    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[k] for r in out], t) for k, t in enumerate(types)],
-                        names=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
-
-    return rows.select("content", "ranges").mapInArrow(
+            out, held = [], 0
+            for name, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != path:
+                    if source is not None:
+                        source.close()
+                    path, source = name, opened(name)
+                out.append(row(source.read_at(length, offset)))
+                held += length
+                if held >= OUT_BYTES:
+                    yield flush(out)
+                    out, held = [], 0
+            yield flush(out)
+        if source is not None:
+            source.close()
+
+    return rows.mapInArrow(
         run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
@@ -300,4 +345,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     blocks = build_index(found)
     keys = pages.select(sort_key(F.regexp_replace(F.col("url").cast("string"), r"[\r\n]", "%0A"),
                                  F.col("page_id").cast("long")).alias("key"))
-    return read_ranges(lookup(keys, blocks), folder)
+    return read_ranges(lookup(keys, blocks))
