@@ -232,9 +232,16 @@ def near_matches(search: Search, slack: int = SLACK) -> DataFrame:
     terms = terms.withColumn("slot", F.row_number().over(by_item.orderBy("freq", "place"))).filter(F.col("slot") <= search.rarest)
     terms = terms.withColumn("need", F.max("slot").over(by_item)).join(search.sizes, ["item_id", "copy"])
     most = F.col("n") + F.greatest(F.lit(1), F.floor(F.col("n") / slack).cast("int"))
-    terms = stored(terms.select("item_id", "copy", "term", "slot", "need", most.alias("most")), "slots")
+    # Slots met, and above them how many there are: one number that can be or-ed.
+    mark = F.expr("shiftleft(1L, slot - 1) | shiftleft(cast(need AS bigint), 32)")
+    terms = stored(terms.select("item_id", "copy", "term", "slot", "need", most.alias("most"), mark.alias("mark")), "slots")
     of = ["doc_id", "hash", "item_id", "copy"]
-    spans = _spans(search.index.join(small(terms), "term"), of, search.rarest).filter(F.col("to") - F.col("from") <= F.col("most"))
+    seen = search.index.join(small(terms), "term").withColumn("pair", F.xxhash64(*of))
+    # Two numbers for each document and item with any slot find the pairs with all of them; equal hashes only add pairs.
+    met = seen.groupBy("pair").agg(F.bit_or("mark").alias("mark"))
+    met = stored(met.filter("(mark & 4294967295L) = shiftleft(1L, cast(shiftright(mark, 32) AS int)) - 1").select("pair"), "met")
+    seen = seen.join(small(met), "pair", "left_semi").drop("pair", "mark")
+    spans = _spans(seen, of, search.rarest).filter(F.col("to") - F.col("from") <= F.col("most"))
     # All spans of an item in one document: at most one for each of its words.
     spans = spans.groupBy(*of, "most").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     wanted = search.test.groupBy("item_id", "copy").agg(F.collect_set("word").alias("wanted"))
