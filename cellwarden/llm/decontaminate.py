@@ -245,9 +245,10 @@ def near_matches(search: Search, slack: int = SLACK) -> DataFrame:
     # All spans of an item in one document: at most one for each of its words.
     spans = spans.groupBy(*of, "most").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     wanted = search.test.groupBy("item_id", "copy").agg(F.collect_set("word").alias("wanted"))
-    full = search.docs.select(F.col("doc_id").alias("d"), text_key(F.col("text")).alias("h"), "text").dropDuplicates(["d", "h"])
-    read = spans.join(small(wanted), ["item_id", "copy"])
-    read = read.join(full, read["doc_id"].eqNullSafe(full["d"]) & (read["hash"] == full["h"]))
+    full = search.docs.select(F.col("doc_id").alias("d"), text_key(F.col("text")).alias("h"), "text")
+    # Few documents are proposed: where these are measured to be small, no text is shuffled.
+    read = small(stored(spans, "near"))
+    read = full.join(read, read["doc_id"].eqNullSafe(full["d"]) & (read["hash"] == full["h"])).join(small(wanted), ["item_id", "copy"])
 
     def holds(span: Column) -> Column:
         low = F.greatest(F.lit(0), span["to"] - F.col("most"))
@@ -257,7 +258,7 @@ def near_matches(search: Search, slack: int = SLACK) -> DataFrame:
 
     held = F.explode(F.filter("spans", holds)).alias("span")
     return read.withColumn("parts", words(F.col("text"))).select("doc_id", "hash", "item_id", held).select(
-        "doc_id", "hash", "item_id", "span.from", "span.to")
+        "doc_id", "hash", "item_id", "span.from", "span.to").distinct()
 
 
 def searched(docs: DataFrame, items: DataFrame, window: int = WINDOW, rarest: int = RAREST, slack: int = SLACK) -> DataFrame:
