@@ -126,8 +126,8 @@ def phrase_hits(search: Search) -> DataFrame:
     full = docs.select(F.col("doc_id").alias("d"), text_key(F.col("text")).alias("h"), F.col("text"))
     texts = test.groupBy("item_id", "copy").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("wanted"))
-    found = found.join(small(texts), ["item_id", "copy"])
-    read = found.join(full, found["doc_id"].eqNullSafe(full["d"]) & (found["hash"] == full["h"]))
+    found = small(stored(found, "aligned"))
+    read = full.join(found, found["doc_id"].eqNullSafe(full["d"]) & (found["hash"] == full["h"])).join(small(texts), ["item_id", "copy"])
     # The document's words from the shift on, null where the item hangs over an end.
     have = F.slice(F.col("parts"), F.greatest(F.col("shift"), F.lit(0)) + 1,
                    F.size("wanted") + F.least(F.col("shift"), F.lit(0)))
