@@ -37,7 +37,8 @@ def _quoted_csv(spark, d):
 
     def with_header(batches):  # one for each file
         yield pa.RecordBatch.from_pydict({"value": ["doc_id,text,text"]})
-        yield from batches
+        for b in batches:  # the same schema as the header's, whether the input can be null or not
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["value"])
 
     pieces = max(4, spark.sparkContext.defaultParallelism, -(-docs.count() // CSV_ROWS))
     docs.select(line.alias("value")).repartition(pieces).mapInArrow(with_header, "value string").write.text(path)
