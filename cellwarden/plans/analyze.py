@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from cellwarden import constants as C
+from cellwarden.operators import calibrate as K
 from cellwarden.operators import decide as D
 from cellwarden.operators import relate as R
 from cellwarden.operators.cells import data_columns, with_row_id
 from cellwarden.operators.detect import row_evidence
+from cellwarden.operators.drift import drifted_columns, with_drift
 from cellwarden.operators.evidence import FOUND_SCHEMA, describe
 from cellwarden.operators.profile import name_hint
 from cellwarden.operators.repair import apply_repairs, auto_edits
@@ -73,7 +75,8 @@ def find_evidence(df: DataFrame, stats: TableStats, fds: list, parity: bool = Fa
 
 
 def analyze(df: DataFrame, key: str, dataset_id: str = "dataset", columns=None,
-            parity: bool = False, near_duplicate_distinct: int | None = None) -> Analysis:
+            parity: bool = False, near_duplicate_distinct: int | None = None,
+            baseline: DataFrame | None = None, limits: DataFrame | None = None, policies=()) -> Analysis:
     """Profile, detect, fuse and decide.
 
     ``key`` is a unique numeric column used as the row id, checked over all
@@ -87,6 +90,12 @@ def analyze(df: DataFrame, key: str, dataset_id: str = "dataset", columns=None,
     only in columns of up to ``NEAR_DUP_MAX_DISTINCT`` values.
     ``near_duplicate_distinct`` sets that number; None, the default without
     ``parity``, searches every string column.
+
+    ``baseline`` is an earlier ``drift.profile``: cells of drifted columns are
+    out of distribution (rule 7). ``limits`` are ``calibrate.thresholds`` of
+    reviewed decisions: cells without a single answer abstain (rule 8).
+    ``policies`` names detector families whose findings have a policy, so that
+    rule 6 lets them pass.
     """
     table = spread(with_row_id(df, key))
     names = data_columns(table, key, columns)
@@ -96,5 +105,12 @@ def analyze(df: DataFrame, key: str, dataset_id: str = "dataset", columns=None,
         ((r["x"], r["y"], r["confidence"]) for r in mined.collect()),
         key=lambda t: (names.index(t[0]), names.index(t[1])))
     evidence = describe(find_evidence(table, stats, fds, parity, near_duplicate_distinct), dataset_id)
-    decisions = D.decide(D.gate_context(evidence), blank_unknown_repairs=parity)
+    context = D.gate_context(evidence)
+    if baseline is not None:
+        context = with_drift(context, drifted_columns(table, baseline))
+    if limits is not None:
+        context = K.with_conformal(context, limits)
+    if policies:
+        context = K.with_policies(context, policies)
+    decisions = D.decide(context, blank_unknown_repairs=parity)
     return Analysis(dataset_id, table, names, stats, fds, evidence, decisions)
