@@ -21,19 +21,27 @@ def event_id(*parts) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def decision_events(decisions: DataFrame, ts: Column, actor: str = "system") -> DataFrame:
-    """One event per decision."""
-    return decisions.select(
+def _decision_event(ts: Column, actor: str) -> list[Column]:
+    return [
         event_id(F.lit("decision"), "decision_id").alias("id"),
         F.col("decision").alias("event_type"), F.lit(actor).alias("actor"),
-        "dataset_id", "decision_id",
+        F.col("dataset_id"), F.col("decision_id"),
         F.create_map(
             F.lit("row_id"), F.col("row_id").cast("string"), F.lit("column"), F.col("column"),
             F.lit("belief_error"), F.col("belief_error").cast("string"),
             F.lit("conflict"), F.col("conflict_k").cast("string"),
         ).alias("details"),
         ts.alias("ts"),
-    )
+    ]
+
+
+def decision_events(decisions: DataFrame, ts: Column, actor: str = "system") -> DataFrame:
+    """One event per decision."""
+    return decisions.select(*_decision_event(ts, actor))
+
+
+# Shares of a dataset that are ranked and counted apart.
+EVENT_PARTS = 128
 
 
 def capped_decision_events(decisions: DataFrame, ts: Column, cap: int = EVENT_CAP,
@@ -41,27 +49,35 @@ def capped_decision_events(decisions: DataFrame, ts: Column, cap: int = EVENT_CA
     """The first ``cap`` decisions of a dataset as events, and one event with
     the counts of all of them where there are more.
 
-    The rank filter is applied per task before the shuffle, so a dataset with
-    many decisions still sends only ``cap`` rows per task to the window.
+    Decisions are costly, so one pass gives both: shares of a dataset are
+    counted and ranked by themselves, and the first ``cap`` rows of each, the
+    very first one with its share's counts, meet in the dataset's window.
     """
-    rank = F.row_number().over(Window.partitionBy("dataset_id").orderBy("row_id", "column"))
-    first = decisions.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")
-    is_ = lambda d: F.count_if(F.col("decision") == d).cast("string")
-    batch = (
-        decisions.groupBy("dataset_id")
-        .agg(F.count("*").alias("n"), is_("AUTO").alias("a"), is_("ESCALATE").alias("e"), is_("BLOCK").alias("b"))
-        .where(F.col("n") > cap)
-        .select(
-            event_id(F.lit("batch"), "dataset_id").alias("id"),
-            F.lit("BATCH_DECISIONS").alias("event_type"), F.lit(actor).alias("actor"),
-            "dataset_id", F.lit(None).cast("string").alias("decision_id"),
-            F.create_map(
-                F.lit("total_decisions"), F.col("n").cast("string"), F.lit("auto_count"), F.col("a"),
-                F.lit("escalate_count"), F.col("e"), F.lit("block_count"), F.col("b")).alias("details"),
-            ts.alias("ts"),
-        )
-    )
-    return decision_events(first, ts, actor).unionByName(batch)
+    cell = ("row_id", "column")
+    is_ = lambda d: F.count_if(F.col("decision") == d)
+    counts = {"n": F.count("*"), "a": is_("AUTO"), "e": is_("ESCALATE"), "b": is_("BLOCK")}
+    share, whole = Window.partitionBy("dataset_id", "part"), Window.partitionBy("dataset_id")
+    of_share = (
+        decisions.select("dataset_id", "decision_id", "decision", *cell, "belief_error", "conflict_k",
+                         F.pmod(F.xxhash64(*cell), F.lit(EVENT_PARTS)).alias("part"))
+        .withColumns({"rank": F.row_number().over(share.orderBy(*cell)), **{k: e.over(share) for k, e in counts.items()}})
+        .where(F.col("rank") <= max(cap, 1)))
+    ranked = of_share.withColumns({
+        "rank": F.row_number().over(whole.orderBy(*cell)),
+        **{k: F.sum(F.when(F.col("rank") == 1, F.col(k))).over(whole) for k in counts}})
+    batch = [
+        event_id(F.lit("batch"), "dataset_id").alias("id"),
+        F.lit("BATCH_DECISIONS").alias("event_type"), F.lit(actor).alias("actor"),
+        F.col("dataset_id"), F.lit(None).cast("string").alias("decision_id"),
+        F.create_map(
+            F.lit("total_decisions"), F.col("n").cast("string"), F.lit("auto_count"), F.col("a").cast("string"),
+            F.lit("escalate_count"), F.col("e").cast("string"), F.lit("block_count"), F.col("b").cast("string"),
+        ).alias("details"),
+        ts.alias("ts"),
+    ]
+    return ranked.where(F.col("rank") <= max(cap, 1)).select(F.inline(F.array_compact(F.array(
+        F.when(F.col("rank") <= cap, F.struct(*_decision_event(ts, actor))),
+        F.when((F.col("rank") == 1) & (F.col("n") > cap), F.struct(*batch))))))
 
 
 def repair_events(changes: DataFrame, dataset_id: str, ts: Column,
