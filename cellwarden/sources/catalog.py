@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -63,11 +64,13 @@ class Catalog:
             F.lit(ts).cast("timestamp").alias("ts"))
         append_events(event, self._path("ledger"))
 
-    def register(self, dataset_id: str, summary: DataFrame, decisions: DataFrame, ts: str,
-                 table: DataFrame | None = None) -> int:
+    def register(self, dataset_id: str, summary: DataFrame | Callable[[DataFrame], DataFrame], decisions: DataFrame,
+                 ts: str, table: DataFrame | None = None) -> int:
         """A new version with its decisions and, if given, the table itself; its number.
 
         The ledger is written first, so that a failed write there stops the rest.
+        ``summary`` may be a function of the decisions: it is given the written
+        ones, so that costly decisions run once.
         """
         self._event("UPLOAD", dataset_id, ts)
         version = max((r["version"] for r in self._versions(dataset_id)), default=0) + 1
@@ -75,6 +78,9 @@ class Catalog:
         decisions.drop("dataset_id").write.parquet(f"{folder}/decisions")
         if table is not None:
             table.write.parquet(f"{folder}/table")
+        if not isinstance(summary, DataFrame):
+            stored = self.spark.read.schema(decisions.drop("dataset_id").schema).parquet(f"{folder}/decisions")
+            summary = summary(stored.withColumn("dataset_id", F.lit(dataset_id)))
         self._publish(summary, dataset_id, version, folder, ts)
         return version
 
