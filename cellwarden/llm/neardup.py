@@ -13,8 +13,9 @@ Candidates far apart (more than 44 of 84 values, which a pair of similarity
 confirmed on the complete shingle sets of both texts.
 
 Texts with equal sets form a class and only classes are joined. In a key's
-bucket all members are first compared with the least one. Only buckets whose members are not all linked
-by that are compared further, and only across what is not linked yet. That happens inside tasks, on
+bucket all members are first compared with the least one. Buckets whose members are not all linked
+by that get further pivots, one a round, compared with the members that are not linked to them yet.
+Only what is still apart then is compared in full, across components. That happens inside tasks, on
 pairs of blocks of bounded size, so that no group is ever written out as all
 its pairs, and no link between components is lost.
 """
@@ -36,6 +37,7 @@ SHARE = 75  # percent of the union
 CHUNKS, LANES, BITS = 14, 6, 10
 GUARANTEED = 2 * CHUNKS - 1  # differing values up to which every pair shares a key
 BLOCK = 400  # classes in a block; a task holds two blocks at a time
+ROUNDS = 4  # pivots tried in buckets of several components before blocks are compared
 
 _VALUES = CHUNKS * LANES
 _RNG = np.random.Generator(np.random.PCG64(20240611))
@@ -136,7 +138,10 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     """Edges (u, v) of the pairs (a, b) of classes that are similar enough on their full sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(
         classes.select("cid", "sample"), "cid")
-    texts = _texts(wanted, docs)
+    return _confirmed(pairs, _texts(wanted, docs), width, share)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
     left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
     full = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -234,12 +239,35 @@ def _labels(found: DataFrame, classes: DataFrame) -> DataFrame:
         "node", F.coalesce("component", "node").alias("component")), "labels")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after links (u, v) between classes: components of components."""
+    to = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+    between = links.join(to("u"), "u").join(to("v"), "v").select(F.col("c_u").alias("u"), F.col("c_v").alias("v"))
+    above = components(between).select(F.col("node").alias("component"), F.col("component").alias("above"))
+    return stored(labels.join(above, "component", "left").select(
+        "node", F.coalesce("above", "component").alias("component")), "labels")
+
+
+def _pivot_pairs(side: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(a, b): one member of each bucket, another every turn, with the members of other components.
+
+    The choice goes by a hash of the class, so that buckets of the same members choose the same one.
+    """
+    of = side.join(labels.select(F.col("node").alias("cid"), "component"), "cid")
+    pivots = of.groupBy("key").agg(
+        F.min(F.struct(F.xxhash64(F.lit(turn), "cid").alias("order"), "cid", "component")).alias("pivot"),
+        F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "pivot")
+    return of.join(pivots, "key").filter("component <> pivot.component").select(
+        F.least("cid", "pivot.cid").alias("a"), F.greatest("cid", "pivot.cid").alias("b")).distinct()
+
+
 def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame,
-            width: int, share: int) -> DataFrame | None:
-    """Links between components of buckets that still hold several; none: None.
+            width: int, share: int) -> DataFrame:
+    """Labels (node, component) after all links between components of buckets that hold several.
 
-    Classes are put in blocks of about ``BLOCK`` by the least head of their
-    buckets, and that one's least head, so that a group's members meet in few blocks. Blocks that share a
+    Pivots first link what they can. The rest is put in blocks of about ``BLOCK`` by the least head of their
+    buckets, and that one's least head, so that a group's members meet in few blocks; the group's
+    largest component has blocks of its own, which need not meet each other. Blocks that share a
     bucket are compared, all members of one with all of the other.
     """
     of = labels.select(F.col("node").alias("cid"), "component")
@@ -249,13 +277,29 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
     rows = members.join(mixed, "key", "left_semi")
     side = stored(rows.select("key", "lead", "cid").union(rows.select("key", "lead", F.col("lead")).distinct()), "mixed")
     if side.isEmpty():
-        return None
+        return labels
+    texts = stored(_texts(side.select("cid").distinct().join(classes.select("cid", "sample"), "cid"), docs), "texts")
+    for turn in range(ROUNDS):
+        pairs = _near(_pivot_pairs(side, labels, turn), classes, share)
+        links = stored(_confirmed(pairs, texts, width, share), "links")
+        if links.isEmpty():
+            break
+        labels = _joined(labels, links)
+    of = labels.select(F.col("node").alias("cid"), "component")
+    apart = side.join(of, "cid").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    side = stored(side.join(apart.filter("lo < hi").select("key"), "key", "left_semi"), "apart")
+    if side.isEmpty():
+        return labels
     home = _jumped(side.groupBy(F.col("cid").alias("node")).agg(F.min("lead").alias("head"))).select(
         F.col("node").alias("cid"), F.col("head").alias("home"))
-    parts = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    home = stored(home.join(of, "cid"), "homes")
+    main = home.groupBy("home", "component").agg(F.count("*").alias("n")).groupBy("home").agg(
+        F.max(F.struct("n", "component"))["component"].alias("main"))
+    home = home.join(main, "home").withColumn("is_main", F.col("component") == F.col("main"))
+    parts = home.groupBy("home", "is_main").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     blocks = stored(
-        home.join(parts, "home").join(of, "cid")
-        .select("cid", "component", F.xxhash64("home", F.pmod(F.xxhash64("cid"), "parts")).alias("block")), "blocks")
+        home.join(parts, ["home", "is_main"])
+        .select("cid", "component", F.xxhash64("home", "is_main", F.pmod(F.xxhash64("cid"), "parts")).alias("block")), "blocks")
     span = blocks.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     met = side.join(blocks.select("cid", "block"), "cid").select("key", "block").distinct().join(span, "block")
     one = met.select("key", F.col("block").alias("block_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
@@ -263,12 +307,11 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
     pairs = (one.join(two, "key").filter("block_a <= block_b and least(lo_a, lo_b) < greatest(hi_a, hi_b)")
              .select("block_a", "block_b").distinct())
     each = pairs.select("block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
-    wanted = blocks.join(classes.select("cid", "sample", "signature", "n_shingles"), "cid")
-    full = wanted.join(_texts(wanted.select("cid", "sample"), docs), "cid")
+    full = blocks.join(classes.select("cid", "signature", "n_shingles"), "cid").join(texts, "cid")
     rows = (each.join(full, "block")
             .select("block_a", "block_b", "block", "cid", "component", "signature", "n_shingles", "text")
             .repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b"))
-    return in_batches(rows, _cross(width, share), "u long, v long")
+    return _joined(labels, in_batches(rows, _cross(width, share), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
@@ -305,12 +348,7 @@ def grouped(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFram
     members = stored(keys.join(leads.select("key", "lead"), "key").filter("cid > lead"), "buckets")
     first = _near(members.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), classes, share)
     labels = _labels(components(confirmed(first, classes, docs, width, share)), classes)
-    more = _across(members, labels, classes, docs, width, share)
-    if more is not None:  # links between components: components of those
-        to = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-        links = more.join(to("u"), "u").join(to("v"), "v").select(F.col("c_u").alias("u"), F.col("c_v").alias("v"))
-        above = components(links).select(F.col("node").alias("component"), F.col("component").alias("above"))
-        labels = labels.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+    labels = _across(members, labels, classes, docs, width, share)
 
     names = classes.join(labels.withColumnRenamed("node", "cid"), "cid")
     least = names.groupBy("component").agg(F.min("name").alias("component_id"))
