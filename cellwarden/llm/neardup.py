@@ -13,11 +13,11 @@ Candidates far apart (more than 44 of 84 values, which a pair of similarity
 confirmed on the complete shingle sets of both texts.
 
 Texts with equal sets form a class and only classes are joined. In a key's
-bucket all members are first compared with the least one. Buckets whose members are not all linked
-by that get further pivots, one a round, compared with the members that are not linked to them yet.
-Only what is still apart then is compared in full, across components. That happens inside tasks, on
-pairs of blocks of bounded size, so that no group is ever written out as all
-its pairs, and no link between components is lost.
+bucket all members are first compared with the least one. Members of buckets that are not all linked
+by that get an index of the rarest shingles of their full sets, which holds every pair that is similar
+enough: sets whose rarest shingles no other has are out for certain. Members meet the most central
+one of their shingle, and only pairs that are still apart then and can be similar by the places of their
+first common shingle and by a parity of all are compared. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ WIDTH = 5
 SHARE = 75  # percent of the union
 CHUNKS, LANES, BITS = 14, 6, 10
 GUARANTEED = 2 * CHUNKS - 1  # differing values up to which every pair shares a key
-BLOCK = 400  # classes in a block; a task holds two blocks at a time
-ROUNDS = 4  # pivots tried in buckets of several components before blocks are compared
+MARKS = 16  # longs with a bit for the parity of the shingles that fall on it
+BLOCK = 400  # members outside a bucket's main component that are compared in one piece
 
 _VALUES = CHUNKS * LANES
 _RNG = np.random.Generator(np.random.PCG64(20240611))
@@ -157,63 +157,15 @@ def _near(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(100 * least >= share * most).select("a", "b")
 
 
-def _cross(width: int, share: int):
-    """Links between components inside each pair of blocks; rows come sorted by (block_a, block_b)."""
-    def links(rows: list[tuple], a: int, b: int, words: WordHashes) -> tuple[list[int], list[int]]:
-        cids = [r[1] for r in rows]
-        root = {r[2]: r[2] for r in rows}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        signs = np.array([r[3] for r in rows], np.int64).view(np.uint64)
-        values = ((signs[:, :, None] >> _PLACES) & np.uint64(_LANE)).astype(np.uint16).reshape(len(rows), -1)
-        sizes = np.array([r[4] for r in rows], np.int64)
-        of_b = np.array([r[0] == b for r in rows])
-        sets: dict[int, np.ndarray] = {}
-        us, vs = [], []
-        for i, row in enumerate(rows):
-            if row[0] != a:
-                continue
-            can = of_b & (np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * share)
-            if a == b:
-                can[:i + 1] = False
-            can = np.flatnonzero(can)
-            apart = (values[can] != values[i]).reshape(len(can), CHUNKS, LANES).sum(axis=2)
-            can = can[apart.min(axis=1, initial=LANES) <= 1]  # those that share a key
-            for j in can:
-                x, y = find(row[2]), find(rows[j][2])
-                if x == y:
-                    continue
-                for k in (i, j):
-                    if k not in sets:
-                        sets[k] = shingle_set(rows[k][5], words, width)
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= share * (len(sets[i]) + len(sets[j]) - both):
-                    root[max(x, y)] = min(x, y)
-                    us.append(cids[i])
-                    vs.append(cids[j])
-        return us, vs
-
+def _tokens(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, now, rows = WordHashes(), None, []
+        words = WordHashes()
         for batch in batches:
-            us, vs = [], []
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:2] != now:
-                    if rows:
-                        u, v = links(rows, *now, words)
-                        us += u
-                        vs += v
-                    now, rows = r[:2], []
-                rows.append(r[2:])
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-        if rows:
-            u, v = links(rows, *now, words)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            for cid, text in zip(batch.column("cid").to_pylist(), batch.column("text"), strict=True):
+                s = shingle_set(text.as_py(), words, width).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(s), cid, np.int64)), pa.array(np.full(len(s), len(s), np.int64)), pa.array(s)],
+                    names=["cid", "n", "h"])
     return run
 
 
@@ -225,14 +177,6 @@ def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             .select("cid", "text").dropDuplicates(["cid"]))
 
 
-def _jumped(heads: DataFrame) -> DataFrame:
-    """(node, head) with each head replaced by its own head, twice."""
-    for _ in range(2):
-        above = heads.select(F.col("node").alias("head"), F.col("head").alias("above"))
-        heads = heads.join(above, "head", "left").select("node", F.coalesce("above", "head").alias("head"))
-    return heads
-
-
 def _labels(found: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) for every class, linked or not."""
     return stored(classes.select(F.col("cid").alias("node")).join(found, "node", "left").select(
@@ -248,70 +192,110 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
         "node", F.coalesce("above", "component").alias("component")), "labels")
 
 
-def _pivot_pairs(side: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """(a, b): one member of each bucket, another every turn, with the members of other components.
+def _prefixes(texts: DataFrame, width: int, share: int) -> DataFrame:
+    """(h, cid, n, at, alone, marks): the shingles of each text's prefix that another text has too.
+
+    n is the set's size, at the shingle's place, alone the number of shingles that no other text has, and
+    marks the parities of the others: the bits in which two sets' marks differ are at most the shingles in which they do.
 
-    The choice goes by a hash of the class, so that buckets of the same members choose the same one.
+    A set's shingles stand in order of the number of ``texts``(cid, text) that have them, the rarest first. If the
+    first one that two sets have in common stands at places i and j, they share at most min(n - i, m - j).
+    Similar sets share ``share`` percent of either, so that a prefix of the others, plus one, holds that first one.
     """
-    of = side.join(labels.select(F.col("node").alias("cid"), "component"), "cid")
-    pivots = of.groupBy("key").agg(
-        F.min(F.struct(F.xxhash64(F.lit(turn), "cid").alias("order"), "cid", "component")).alias("pivot"),
-        F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "pivot")
-    return of.join(pivots, "key").filter("component <> pivot.component").select(
-        F.least("cid", "pivot.cid").alias("a"), F.greatest("cid", "pivot.cid").alias("b")).distinct()
+    tokens = stored(in_batches(texts, _tokens(width), "cid long, n long, h long"), "shingles")
+    common = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    mark = "bit_xor(if(shiftrightunsigned(h, 6) & {} = {}, shiftleft(1L, cast(h & 63 as int)), 0L))".format
+    shared = tokens.join(common, "h").groupBy("cid", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "h"))).alias("own"),
+        F.array(*[F.expr(mark(MARKS - 1, i)) for i in range(MARKS)]).alias("marks"))
+    alone = F.col("n") - F.size("own")  # those that no other text has come first
+    most = F.floor(F.col("n") * (100 - share) / 100) + 1 - alone
+    first = shared.select("cid", "n", alone.cast("long").alias("alone"), "marks",
+                          F.slice("own", 1, F.greatest(most, F.lit(0)).cast("int")).alias("own"))
+    return first.select("cid", "n", "alone", "marks", F.posexplode("own").alias("i", "s")).select(
+        F.col("s.h").alias("h"), "cid", "n", (F.col("alone") + F.col("i")).alias("at"), "alone", "marks")
+
+
+def _can_link(share: int) -> Column:
+    """Of rows of two sides with one shingle: the sets may be similar if it is the first in common."""
+    sizes = F.col("n_a") + F.col("n_b")
+    both = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    differ = sum((F.bit_count(F.col("marks_a")[i].bitwiseXOR(F.col("marks_b")[i])) for i in range(MARKS)),
+                 F.col("alone_a") + F.col("alone_b"))
+    return ((100 * least >= share * most) & ((100 + share) * both >= share * sizes)
+            & ((100 + share) * differ <= (100 - share) * sizes))
+
+
+_ROW = ("cid", "n", "at", "alone", "marks", "component")
+
+
+def _side(rows: DataFrame, side: str, *keys: str) -> DataFrame:
+    return rows.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in _ROW])
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
+
+
+def _bucketed(prefixes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Prefix rows with their components, and of buckets with several: the smallest set, the main component."""
+    of = prefixes.join(labels.select(F.col("node").alias("cid"), "component"), "cid")
+    central = F.struct((F.col("at") / F.col("n")).alias("place"), *_ROW)
+    each = of.groupBy("h", "component").agg(
+        F.count("*").alias("rows"), F.min("n").alias("least"), F.min(central).alias("pivot"))
+    buckets = each.groupBy("h").agg(
+        F.count("*").alias("components"), F.min("least").alias("least"), F.min("pivot").alias("pivot"),
+        F.max(F.struct("rows", "component"))["component"].alias("main"))
+    return of, buckets.filter("components > 1")
+
+
+def _pivot_pairs(of: DataFrame, buckets: DataFrame, share: int) -> DataFrame:
+    """(a, b): each bucket's most central member, with the fewest rarer shingles, and members of other components."""
+    pairs = _side(buckets.select("h", "pivot.*"), "a", "h").join(_side(of, "b", "h"), "h")
+    return _paired(pairs.filter("component_a <> component_b").filter(_can_link(share)))
+
+
+def _rest_pairs(of: DataFrame, buckets: DataFrame, share: int) -> DataFrame:
+    """(a, b): all pairs of different components that may be similar.
+
+    Members of a bucket's main component do not meet each other, and rows too far back for its smallest set are out.
+    More than ``BLOCK`` members of other components are dealt out, and each part meets the whole bucket.
+    """
+    fits = (100 + share) * (F.col("n") - F.col("at")) >= share * (F.col("n") + F.col("least"))
+    rows = stored(of.join(buckets.select("h", "least", "main"), "h").filter(fits)
+                  .select("h", *_ROW, (F.col("component") == F.col("main")).alias("is_main")), "fitting")
+    parts = rows.groupBy("h").agg(F.ceil(F.count_if(~F.col("is_main")) / BLOCK).alias("parts")).filter("parts > 0")
+    rows = rows.join(parts, "h")
+    few = _side(rows.filter("not is_main").withColumn("part", F.pmod(F.xxhash64("cid"), "parts")), "a", "h", "part")
+    whole = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    pairs = few.join(_side(whole, "b", "h", "part", "is_main"), ["h", "part"])
+    return _paired(pairs.filter("component_a <> component_b and (is_main or cid_a < cid_b)").filter(_can_link(share)))
 
 
 def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame,
             width: int, share: int) -> DataFrame:
     """Labels (node, component) after all links between components of buckets that hold several.
 
-    Pivots first link what they can. The rest is put in blocks of about ``BLOCK`` by the least head of their
-    buckets, and that one's least head, so that a group's members meet in few blocks; the group's
-    largest component has blocks of its own, which need not meet each other. Blocks that share a
-    bucket are compared, all members of one with all of the other.
+    All members of these buckets meet again on the shingles of their prefixes, which every similar
+    pair shares: first with a bucket's most central member, then, where components are still apart, with each other.
     """
     of = labels.select(F.col("node").alias("cid"), "component")
     lead_of = labels.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))
     mixed = (members.join(of, "cid").join(lead_of, "lead").filter("component <> lead_component")
              .select("key").distinct())
     rows = members.join(mixed, "key", "left_semi")
-    side = stored(rows.select("key", "lead", "cid").union(rows.select("key", "lead", F.col("lead")).distinct()), "mixed")
+    side = stored(rows.select("cid").union(rows.select(F.col("lead"))).distinct(), "mixed")
     if side.isEmpty():
         return labels
-    texts = stored(_texts(side.select("cid").distinct().join(classes.select("cid", "sample"), "cid"), docs), "texts")
-    for turn in range(ROUNDS):
-        pairs = _near(_pivot_pairs(side, labels, turn), classes, share)
+    texts = stored(_texts(side.join(classes.select("cid", "sample"), "cid"), docs), "texts")
+    prefixes = stored(_prefixes(texts, width, share), "prefixes")
+    for pairs_of in (_pivot_pairs, _rest_pairs):
+        pairs = pairs_of(*_bucketed(prefixes, labels), share)
         links = stored(_confirmed(pairs, texts, width, share), "links")
-        if links.isEmpty():
-            break
-        labels = _joined(labels, links)
-    of = labels.select(F.col("node").alias("cid"), "component")
-    apart = side.join(of, "cid").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    side = stored(side.join(apart.filter("lo < hi").select("key"), "key", "left_semi"), "apart")
-    if side.isEmpty():
-        return labels
-    home = _jumped(side.groupBy(F.col("cid").alias("node")).agg(F.min("lead").alias("head"))).select(
-        F.col("node").alias("cid"), F.col("head").alias("home"))
-    home = stored(home.join(of, "cid"), "homes")
-    main = home.groupBy("home", "component").agg(F.count("*").alias("n")).groupBy("home").agg(
-        F.max(F.struct("n", "component"))["component"].alias("main"))
-    home = home.join(main, "home").withColumn("is_main", F.col("component") == F.col("main"))
-    parts = home.groupBy("home", "is_main").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    blocks = stored(
-        home.join(parts, ["home", "is_main"])
-        .select("cid", "component", F.xxhash64("home", "is_main", F.pmod(F.xxhash64("cid"), "parts")).alias("block")), "blocks")
-    span = blocks.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    met = side.join(blocks.select("cid", "block"), "cid").select("key", "block").distinct().join(span, "block")
-    one = met.select("key", F.col("block").alias("block_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    two = met.select("key", F.col("block").alias("block_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    pairs = (one.join(two, "key").filter("block_a <= block_b and least(lo_a, lo_b) < greatest(hi_a, hi_b)")
-             .select("block_a", "block_b").distinct())
-    each = pairs.select("block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
-    full = blocks.join(classes.select("cid", "signature", "n_shingles"), "cid").join(texts, "cid")
-    rows = (each.join(full, "block")
-            .select("block_a", "block_b", "block", "cid", "component", "signature", "n_shingles", "text")
-            .repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b"))
-    return _joined(labels, in_batches(rows, _cross(width, share), "u long, v long"))
+        if not links.isEmpty():
+            labels = _joined(labels, links)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
