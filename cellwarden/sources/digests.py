@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE = 128 << 20  # bytes of a file that one task takes into its digest
-ROW = 1 << 20  # bytes in a stored row
+ROW = 64 << 10  # bytes in a stored row; Parquet holds 100 of them at least before it ends a page
 # Files that the text reader would unpack; they are not split anyway.
 PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst)$"
 BOM = b"\xef\xbb\xbf"
