@@ -48,6 +48,15 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join of tables that both grow with the input: neither is ever broadcast.
+
+    Spark judges a table by its files or by what goes into an explode, before lists unfold and columns are unpacked,
+    and keeps to a broadcast even if it has measured more meanwhile, where a shuffled join would have more shuffles.
+    """
+    return df.hint("merge")
+
+
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` in batches bounded by rows and bytes: texts can be long, and a batch lies in memory whole."""
     conf = df.sparkSession.conf

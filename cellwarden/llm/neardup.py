@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwarden.llm.common import ASCII_LOWER, WordHashes, in_batches, stored, text_key, windows
+from cellwarden.llm.common import ASCII_LOWER, WordHashes, in_batches, shuffled, stored, text_key, windows
 from cellwarden.llm.components import components
 
 WIDTH = 5
@@ -137,14 +137,14 @@ def _confirm(width: int, share: int):
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, share: int) -> DataFrame:
     """Edges (u, v) of the pairs (a, b) of classes that are similar enough on their full sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(
-        classes.select("cid", "sample"), "cid")
+        shuffled(classes.select("cid", "sample")), "cid")
     return _confirmed(pairs, _texts(wanted, docs), width, share)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
     left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
-    full = pairs.select("a", "b").join(left, "a").join(right, "b")
+    full = pairs.select("a", "b").join(shuffled(left), "a").join(shuffled(right), "b")
     return in_batches(full, _confirm(width, share), "u long, v long")
 
 
@@ -154,7 +154,7 @@ def _near(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     a = sizes.select(F.col("cid").alias("a"), F.col("n_shingles").alias("n_a"))
     b = sizes.select(F.col("cid").alias("b"), F.col("n_shingles").alias("n_b"))
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return pairs.join(a, "a").join(b, "b").filter(100 * least >= share * most).select("a", "b")
+    return pairs.join(shuffled(a), "a").join(shuffled(b), "b").filter(100 * least >= share * most).select("a", "b")
 
 
 def _tokens(width: int):
@@ -172,23 +172,23 @@ def _tokens(width: int):
 def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(cid, text) for the classes in ``wanted``(cid, sample)."""
     texts = docs.select(F.col("doc_id"), text_key(F.col("text")).alias("hash"), "text")
-    return (texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["sample.doc_id"])
+    return (texts.join(shuffled(wanted), texts["doc_id"].eqNullSafe(wanted["sample.doc_id"])
                        & (texts["hash"] == wanted["sample.hash"]))
             .select("cid", "text").dropDuplicates(["cid"]))
 
 
 def _labels(found: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) for every class, linked or not."""
-    return stored(classes.select(F.col("cid").alias("node")).join(found, "node", "left").select(
+    return stored(classes.select(F.col("cid").alias("node")).join(shuffled(found), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")), "labels")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after links (u, v) between classes: components of components."""
     to = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-    between = links.join(to("u"), "u").join(to("v"), "v").select(F.col("c_u").alias("u"), F.col("c_v").alias("v"))
+    between = links.join(shuffled(to("u")), "u").join(shuffled(to("v")), "v").select(F.col("c_u").alias("u"), F.col("c_v").alias("v"))
     above = components(between).select(F.col("node").alias("component"), F.col("component").alias("above"))
-    return stored(labels.join(above, "component", "left").select(
+    return stored(labels.join(shuffled(above), "component", "left").select(
         "node", F.coalesce("above", "component").alias("component")), "labels")
 
 
@@ -205,7 +205,7 @@ def _prefixes(texts: DataFrame, width: int, share: int) -> DataFrame:
     tokens = stored(in_batches(texts, _tokens(width), "cid long, n long, h long"), "shingles")
     common = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     mark = "bit_xor(if(shiftrightunsigned(h, 6) & {} = {}, shiftleft(1L, cast(h & 63 as int)), 0L))".format
-    shared = tokens.join(common, "h").groupBy("cid", "n").agg(
+    shared = tokens.join(shuffled(common), "h").groupBy("cid", "n").agg(
         F.array_sort(F.collect_list(F.struct("df", "h"))).alias("own"),
         F.array(*[F.expr(mark(MARKS - 1, i)) for i in range(MARKS)]).alias("marks"))
     alone = F.col("n") - F.size("own")  # those that no other text has come first
@@ -240,7 +240,7 @@ def _paired(rows: DataFrame) -> DataFrame:
 
 def _bucketed(prefixes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Prefix rows with their components, and of buckets with several: the smallest set, the main component."""
-    of = prefixes.join(labels.select(F.col("node").alias("cid"), "component"), "cid")
+    of = prefixes.join(shuffled(labels.select(F.col("node").alias("cid"), "component")), "cid")
     central = F.struct((F.col("at") / F.col("n")).alias("place"), *_ROW)
     each = of.groupBy("h", "component").agg(
         F.count("*").alias("rows"), F.min("n").alias("least"), F.min(central).alias("pivot"))
@@ -252,7 +252,7 @@ def _bucketed(prefixes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
 
 def _pivot_pairs(of: DataFrame, buckets: DataFrame, share: int) -> DataFrame:
     """(a, b): each bucket's most central member, with the fewest rarer shingles, and members of other components."""
-    pairs = _side(buckets.select("h", "pivot.*"), "a", "h").join(_side(of, "b", "h"), "h")
+    pairs = _side(buckets.select("h", "pivot.*"), "a", "h").join(shuffled(_side(of, "b", "h")), "h")
     return _paired(pairs.filter("component_a <> component_b").filter(_can_link(share)))
 
 
@@ -263,13 +263,13 @@ def _rest_pairs(of: DataFrame, buckets: DataFrame, share: int) -> DataFrame:
     More than ``BLOCK`` members of other components are dealt out, and each part meets the whole bucket.
     """
     fits = (100 + share) * (F.col("n") - F.col("at")) >= share * (F.col("n") + F.col("least"))
-    rows = stored(of.join(buckets.select("h", "least", "main"), "h").filter(fits)
+    rows = stored(of.join(shuffled(buckets.select("h", "least", "main")), "h").filter(fits)
                   .select("h", *_ROW, (F.col("component") == F.col("main")).alias("is_main")), "fitting")
     parts = rows.groupBy("h").agg(F.ceil(F.count_if(~F.col("is_main")) / BLOCK).alias("parts")).filter("parts > 0")
-    rows = rows.join(parts, "h")
+    rows = rows.join(shuffled(parts), "h")
     few = _side(rows.filter("not is_main").withColumn("part", F.pmod(F.xxhash64("cid"), "parts")), "a", "h", "part")
     whole = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    pairs = few.join(_side(whole, "b", "h", "part", "is_main"), ["h", "part"])
+    pairs = few.join(shuffled(_side(whole, "b", "h", "part", "is_main")), ["h", "part"])
     return _paired(pairs.filter("component_a <> component_b and (is_main or cid_a < cid_b)").filter(_can_link(share)))
 
 
@@ -282,13 +282,13 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
     """
     of = labels.select(F.col("node").alias("cid"), "component")
     lead_of = labels.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))
-    mixed = (members.join(of, "cid").join(lead_of, "lead").filter("component <> lead_component")
+    mixed = (members.join(shuffled(of), "cid").join(shuffled(lead_of), "lead").filter("component <> lead_component")
              .select("key").distinct())
-    rows = members.join(mixed, "key", "left_semi")
+    rows = members.join(shuffled(mixed), "key", "left_semi")
     side = stored(rows.select("cid").union(rows.select(F.col("lead"))).distinct(), "mixed")
     if side.isEmpty():
         return labels
-    texts = stored(_texts(side.join(classes.select("cid", "sample"), "cid"), docs), "texts")
+    texts = stored(_texts(side.join(shuffled(classes.select("cid", "sample")), "cid"), docs), "texts")
     prefixes = stored(_prefixes(texts, width, share), "prefixes")
     for pairs_of in (_pivot_pairs, _rest_pairs):
         pairs = pairs_of(*_bucketed(prefixes, labels), share)
@@ -329,15 +329,15 @@ def grouped(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFram
 
     keys = bucket_keys(classes)
     leads = keys.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).filter("last > lead")
-    members = stored(keys.join(leads.select("key", "lead"), "key").filter("cid > lead"), "buckets")
+    members = stored(keys.join(shuffled(leads.select("key", "lead")), "key").filter("cid > lead"), "buckets")
     first = _near(members.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), classes, share)
     labels = _labels(components(confirmed(first, classes, docs, width, share)), classes)
     labels = _across(members, labels, classes, docs, width, share)
 
-    names = classes.join(labels.withColumnRenamed("node", "cid"), "cid")
+    names = classes.join(shuffled(labels.withColumnRenamed("node", "cid")), "cid")
     least = names.groupBy("component").agg(F.min("name").alias("component_id"))
-    of_set = names.select("set_name", "component").join(least, "component").select("set_name", "component", "component_id")
-    out = rows.select("doc_id", "hash", "n_shingles", "set_name").join(of_set, "set_name", "left")
+    of_set = names.select("set_name", "component").join(shuffled(least), "component").select("set_name", "component", "component_id")
+    out = rows.select("doc_id", "hash", "n_shingles", "set_name").join(shuffled(of_set), "set_name", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "hash", "n_shingles", "component", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
