@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwarden.llm import bpe, decontaminate, neardup, quality_fm, secret_scan
-from cellwarden.llm.common import keep_rows, shared_folder, stored, unused
+from cellwarden.llm.common import keep_rows, shared_folder, shuffled, stored, unused
 from cellwarden.llm.queries import VOCABULARY
 
 
@@ -34,7 +34,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of_group = found.filter("component is not null").groupBy("component").agg(F.min(row).alias("k")).select("k.*")
     chosen = stored(of_group.union(found.filter("component is null").select(row.alias("k")).select("k.*")), "chosen")
     on = docs["doc_id"].eqNullSafe(chosen[k_id]) & (F.xxhash64(docs["text"]) == chosen[k_hash])
-    rows = docs.join(chosen, on)
+    rows = docs.join(shuffled(chosen), on)
     if not chosen.filter(F.col(k_rows) > 1).isEmpty():  # repeated rows: only they need the shuffle
         rows = rows.filter(F.col(k_rows) == 1).union(rows.filter(F.col(k_rows) > 1).dropDuplicates([k_id, k_hash]))
     return rows.drop(k_id, k_hash, k_rows)
