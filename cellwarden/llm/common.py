@@ -51,8 +51,7 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def shuffled(df: DataFrame) -> DataFrame:
     """``df`` for a join of tables that both grow with the input: neither is ever broadcast.
 
-    Spark judges a table by its files or by what goes into an explode, before lists unfold and columns are unpacked,
-    and keeps to a broadcast even if it has measured more meanwhile, where a shuffled join would have more shuffles.
+    Spark judges a table by its files or by what goes into an explode, before lists unfold and columns are unpacked.
     """
     return df.hint("merge")
 
